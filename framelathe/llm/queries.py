@@ -1,9 +1,15 @@
 """The subpackage's queries and their SQL."""
 
-from . import quality_rules, simhash_dedup
+from . import mixing, quality_rules, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
     "op3_simhash_dedup": simhash_dedup.op3_query,
+    "op6_substring_dedup": substring_dedup.op6_query,
+    "op9_mixing": mixing.op9_query,
+}
+ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
+    "op9_mixing": mixing.ORACLE,
 }
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE}

@@ -1,12 +1,13 @@
 """The subpackage's queries and their SQL."""
 
-from . import mixing, quality_rules, simhash_dedup, substring_dedup
+from . import mixing, quality_rules, sentencepiece_codec, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
     "op3_simhash_dedup": simhash_dedup.op3_query,
     "op6_substring_dedup": substring_dedup.op6_query,
     "op9_mixing": mixing.op9_query,
+    "op10_sentencepiece": sentencepiece_codec.op10_query,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,

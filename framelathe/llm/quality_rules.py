@@ -134,8 +134,13 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
         "base_failed",
         (F.col("n_words") < r.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * r.max_repeat_percent),
     )
+    # The row number is always true here; being non-deterministic it keeps a later filter above these
+    # projections, where pushing it down would repeat their expressions within each other.
     return df.withColumn(
-        "kept", ~F.col("base_failed") & (F.col("n_removed_words") * 100 <= F.col("n_words") * r.max_lost_percent)
+        "kept",
+        ~F.col("base_failed")
+        & (F.col("n_removed_words") * 100 <= F.col("n_words") * r.max_lost_percent)
+        & (F.monotonically_increasing_id() >= 0),
     )
 
 

@@ -1,9 +1,10 @@
 """The subpackage's queries and their SQL."""
 
-from . import html_extraction, mixing, quality_rules, sentencepiece_codec, simhash_dedup, substring_dedup, toxicity, url_filters, warc
+from . import embedding_dedup, html_extraction, mixing, quality_rules, sentencepiece_codec, simhash_dedup, substring_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
+    "op2_embedding_dedup": embedding_dedup.op2_query,
     "op3_simhash_dedup": simhash_dedup.op3_query,
     "op4_url_filters": url_filters.op4_query,
     "op5_html_extraction": html_extraction.op5_query,

@@ -73,8 +73,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     if not ways.take(1):  # nothing flows
         return score.withColumn("score", F.col("score") * (1 - damping))
     for k in range(rounds):
-        moved = score.join(ways, (ways["kind"] == score["kind"]) & (ways["a"] == score["host"])).select(
-            ways["kind"], F.col("b").alias("host"), (F.col("score") * F.col("w") * damping).alias("part")
+        held = score.select(F.col("kind").alias("_kind"), F.col("host").alias("_host"), "score")
+        moved = held.join(ways, (F.col("kind") == F.col("_kind")) & (F.col("a") == F.col("_host"))).select(
+            "kind", F.col("b").alias("host"), (F.col("score") * F.col("w") * damping).alias("part")
         )
         born = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("part"))
         score = moved.union(born).groupBy("kind", "host").agg(F.sum("part").alias("score"))

@@ -48,23 +48,24 @@ def rint6(x: float) -> float:
     return round(x * 1e6) / 1e6 if x == x and abs(x) < 1e300 else x
 
 
-def center_scale(df: DataFrame, cols: list[Column], rows: int) -> tuple[list[float], list[float]]:
-    """Median and scaled median absolute deviation of each column; NaN for one that holds a NaN.
+def center_scale(df: DataFrame, cols: list[Column]) -> tuple[list[float], list[float], list[int]]:
+    """Median and scaled median absolute deviation of each column, nulls passed over, and how many values it has.
 
-    Columns hold no nulls.  The medians are a job, the deviations from them
-    another: both exact at any size.
+    NaN for a column that holds a NaN or nothing.  Three jobs for all columns
+    together: counts, medians, and the deviations from them; exact at any size.
     """
-    if not cols or not rows:
-        return [], []
-    nan = df.agg(*[F.count_if(F.isnan(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    clean = [i for i in range(len(cols)) if not nan[f"n{i}"]]
+    if not cols:
+        return [], [], []
+    found = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("n", F.count), ("x", lambda c: F.count_if(F.isnan(c))))]).first()
+    counts = [found[f"n{i}"] for i in range(len(cols))]
+    clean = [i for i in range(len(cols)) if counts[i] and not found[f"x{i}"]]
     center, scale = [float("nan")] * len(cols), [float("nan")] * len(cols)
-    for i, m in zip(clean, exact_percentiles(df, [(cols[i], 0.5) for i in clean], rows)) if clean else ():
+    rows = [counts[i] for i in clean]
+    for i, m in zip(clean, exact_percentiles(df, [(cols[i], 0.5) for i in clean], rows)):
         center[i] = m
-    away = [(F.abs(cols[i] - F.lit(center[i])), 0.5) for i in clean]
-    for i, m in zip(clean, exact_percentiles(df, away, rows)) if clean else ():
+    for i, m in zip(clean, exact_percentiles(df, [(F.abs(cols[i] - F.lit(center[i])), 0.5) for i in clean], rows)):
         scale[i] = m * MAD_TO_STD
-    return center, scale
+    return center, scale, counts
 
 
 def calibrate(frames: Frames, source: str, percentile: float = 99.9) -> Calibration:
@@ -76,17 +77,17 @@ def calibrate(frames: Frames, source: str, percentile: float = 99.9) -> Calibrat
         "rn", *[F.col(c) for c in frames.action], *[F.col(f"j_{c}") for c in frames.signal]
     ).persist()
     try:
-        counts = jerked.agg(F.count(F.lit(1)), F.count_if(F.col("rn") > 3)).first()
-        if not counts[0] or not counts[1]:
+        moving = F.col("rn") > 3
+        jerk = [F.when(moving, F.col(f"j_{c}")) for c in frames.signal]
+        action = [F.col(c) for c in frames.action]
+        center, scale, counts = center_scale(jerked, jerk + action)
+        if not counts or not counts[0] or not counts[-1]:
             raise ValueError(f"{source}: too few frames to calibrate on")
-        moving = jerked.filter("rn > 3")
-        jerk, action = [F.col(f"j_{c}") for c in frames.signal], [F.col(c) for c in frames.action]
-        jc, js = center_scale(moving, jerk, counts[1])
-        ac, sc = center_scale(jerked, action, counts[0])
-        p = percentile / 100
-        jt = exact_percentiles(moving, [(row_score(jerk, jc, js), p)], counts[1])[0]
-        at = exact_percentiles(jerked, [(row_score(action, ac, sc), p)], counts[0])[0] if action else 0.0
+        d = len(jerk)
+        jc, js, ac, sc = center[:d], scale[:d], center[d:], scale[d:]
+        scores = [F.when(moving, row_score([F.col(f"j_{c}") for c in frames.signal], jc, js)), row_score(action, ac, sc)]
+        jt, at = exact_percentiles(jerked, [(s, percentile / 100) for s in scores], [counts[0], counts[-1]])
     finally:
         jerked.unpersist()
     six = lambda xs: [rint6(x) for x in xs]
-    return Calibration(source, counts[0], float(percentile), six(jc), six(js), six(ac), six(sc), round(jt, 6), round(at, 6))
+    return Calibration(source, counts[-1], float(percentile), six(jc), six(js), six(ac), six(sc), round(jt, 6), round(at, 6))

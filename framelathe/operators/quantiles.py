@@ -24,7 +24,7 @@ def _squash(v: Column) -> Column:
 
 
 def order_statistics(df: DataFrame, wanted: Sequence[tuple[Column, int]], few: int = ONE_PASS_ROWS, passes: int = 40) -> list[float]:
-    """For each (column, rank from 0) the value of that rank; columns hold neither nulls nor NaN."""
+    """For each (column, rank from 0) the value of that rank.  Nulls are passed over; columns hold no NaN."""
     state = [{"v": v, "rank": r, "lo": None, "hi": None, "n": None, "value": None} for v, r in wanted]
     for step in range(passes):
         todo = [k for k, s in enumerate(state) if s["value"] is None and (s["n"] is None or s["n"] > few)]
@@ -38,7 +38,7 @@ def order_statistics(df: DataFrame, wanted: Sequence[tuple[Column, int]], few: i
             v = s["v"]
             if step == 0:
                 a, b, x = ends[f"a{k}"], ends[f"b{k}"], _squash(v)
-                inside = F.lit(True)
+                inside = v.isNotNull()
             else:
                 a, b, x = s["lo"], s["hi"], v
                 inside = (v >= a) & (v <= b)
@@ -70,22 +70,31 @@ def order_statistics(df: DataFrame, wanted: Sequence[tuple[Column, int]], few: i
     return [s["value"] for s in state]
 
 
-def exact_percentiles(df: DataFrame, wanted: Sequence[tuple[Column, float]], rows: int, one_pass: int = ONE_PASS_ROWS) -> list[float | None]:
-    """Linearly interpolated percentiles (fractions) of double columns over ``rows`` rows; None without rows."""
-    if not rows:
-        return [None] * len(wanted)
-    if rows <= one_pass:
-        got = df.agg(*[F.percentile(v, F.lit(float(p))).alias(f"p{i}") for i, (v, p) in enumerate(wanted)]).first()
-        return [got[f"p{i}"] for i in range(len(wanted))]
+def exact_percentiles(df: DataFrame, wanted: Sequence[tuple[Column, float]], rows: int | Sequence[int], one_pass: int = ONE_PASS_ROWS) -> list[float | None]:
+    """Linearly interpolated percentiles (fractions) of double columns, nulls passed over.
+
+    ``rows``: how many values each column has, one number for all or one for
+    each; None for a column without any.
+    """
+    counts = [rows] * len(wanted) if isinstance(rows, int) else list(rows)
+    out: list[float | None] = [None] * len(wanted)
+    todo = [i for i, n in enumerate(counts) if n]
+    if not todo:
+        return out
+    if max(counts) <= one_pass:
+        got = df.agg(*[F.percentile(wanted[i][0], F.lit(float(wanted[i][1]))).alias(f"p{i}") for i in todo]).first()
+        for i in todo:
+            out[i] = got[f"p{i}"]
+        return out
     ranks, at = [], []
-    for v, p in wanted:
-        x = p * (rows - 1)
+    for i in todo:
+        v, p = wanted[i]
+        x = p * (counts[i] - 1)
         at.append(x)
         ranks += [(v, math.floor(x)), (v, math.ceil(x))]
     values = order_statistics(df, ranks, few=one_pass)
-    out = []
-    for i, x in enumerate(at):
-        lo, hi = values[2 * i], values[2 * i + 1]
+    for k, (i, x) in enumerate(zip(todo, at)):
+        lo, hi = values[2 * k], values[2 * k + 1]
         f = x - math.floor(x)
-        out.append(lo if f == 0 or lo == hi else (math.ceil(x) - x) * lo + f * hi)
+        out[i] = lo if f == 0 or lo == hi else (math.ceil(x) - x) * lo + f * hi
     return out

@@ -105,9 +105,8 @@ def vector_frame_scores(spark, sf_dir):
         "vec_id", "rn", *[F.get("embedding", F.lit(i)).cast("double").alias(f"a{i}") for i in range(64)], *[f"j{i}" for i in range(64)]
     ).persist()
     a, j = [F.col(f"a{i}") for i in range(64)], [F.col(f"j{i}") for i in range(64)]
-    n, m = df.agg(F.count(F.lit(1)), F.count_if(F.col("rn") > 3)).first()
-    ac, sa = center_scale(df, a, n)
-    jc, js = center_scale(df.filter("rn > 3"), j, m)
+    ac, sa, _ = center_scale(df, a)
+    jc, js, _ = center_scale(df, j)  # null for the first three of a label
     return df.select(
         "vec_id", "rn", half_even(F.when(F.col("rn") > 3, row_score(j, jc, js)), 6).alias("jerk_score"), half_even(row_score(a, ac, sa), 6).alias("action_score")
     )

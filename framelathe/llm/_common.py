@@ -43,6 +43,13 @@ def hex64(col: Column) -> Column:
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
+def balanced(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+    """A small input, which may be one row group and so one task, dealt to all cores; larger ones as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < small and cores > 1 else df
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and bytes of a text column: what partition counts are sized from."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(column)).cast("long"))).first()

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import balanced
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(?P<raw>script|style|title|noscript|template|svg|iframe|textarea|select|button|object|math|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
@@ -206,7 +208,7 @@ def extract(pages: DataFrame, labelled=LABELLED) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return plain.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return balanced(plain).mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

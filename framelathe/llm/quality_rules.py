@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD
+from ._common import balanced, WORD
 
 #: Phrases of boilerplate lines.  Fixed values.
 BOILERPLATE = (
@@ -145,7 +145,7 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = balanced(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return quality(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept"
     )

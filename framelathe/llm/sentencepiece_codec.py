@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import balanced
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -468,5 +470,5 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = balanced(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return encode(docs).select("doc_id", "n_tokens", "token_ids", "round_trip")

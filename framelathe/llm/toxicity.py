@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import balanced
+
 #: Labelled rows that training takes at most (about): the documented bound of the sample.
 SAMPLE_ROWS = 12_000
 #: Features of the linear classifier.
@@ -208,7 +210,7 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
                     out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return balanced(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, cut, hex64
+from ._common import balanced, components, cut, hex64
 
 SEED = 42
 #: Rows that a bucket of the join should hold.
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1) -> DataFrame:
                 names=["doc_id", "fp", "n_shingles", "ext"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return balanced(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(
         run, "doc_id long, fp long, n_shingles long, ext binary"
     )
 
@@ -104,11 +104,12 @@ def bit_moments(nodes: DataFrame) -> tuple[int, np.ndarray]:
             x = np.unpackbits(v.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].astype(np.float32)
             m += x.T @ x
             n += len(x)
-        yield pa.RecordBatch.from_pydict({"n": [n], "m": [m.ravel().tolist()]}, schema=pa.schema([("n", pa.int64()), ("m", pa.list_(pa.float64()))]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4097)), pa.array(np.append(m.ravel(), n))], names=["k", "n"])
 
-    part = nodes.select("fp").mapInArrow(run, "n long, m array<double>")
-    row = part.agg(F.sum("n"), F.array(*[F.sum(F.get("m", F.lit(i))) for i in range(4096)])).first()
-    return row[0] or 0, np.array([x or 0 for x in row[1]]).reshape(64, 64)
+    part = nodes.select("fp").mapInArrow(run, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(4097)
+    total[part["k"].to_numpy(int)] = part["n"].to_numpy()
+    return int(total[4096]), total[:4096].reshape(64, 64)
 
 
 def grouped_bits(n: int, together: np.ndarray, parts: int, width: int) -> list[list[int]]:

@@ -70,10 +70,11 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(h)).tobytes(), "big") if len(h) else 0
 
 
-def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
     """``doc_id, fp, n_shingles, ext``: fp the 64-bit fingerprint as a long, ext the further lanes (binary).
 
-    Null and empty texts have no shingle: fingerprint zero.
+    Null and empty texts have no shingle: fingerprint zero.  ``distinct``: each
+    shingle counts once, as it does for a Jaccard similarity.
     """
 
     def run(batches):
@@ -81,6 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1) -> DataFrame:
             fps, ns, exts = [], [], []
             for t in pc.cast(b.column(1), pa.binary()).to_pylist():
                 h = shingle_hashes(t, shingle)
+                h = np.unique(h) if distinct else h
                 fps.append(majority(h))
                 ns.append(len(h))
                 exts.append(b"".join(majority(lane(h, k)).to_bytes(8, "little") for k in range(1, lanes)))
@@ -390,16 +392,16 @@ def links(nodes: DataFrame, tau: int, *, plan: tuple[int, int] | None = None, la
     return flat.groupBy("bucket").applyInPandas(lambda pdf: joined(pdf, rule, lanes), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, *, shingle: int = 5, tau: int = 12, lanes: int = 4, ext_tau: int | None = 44, ratio: float | None = 0.8) -> DataFrame:
+def simhash_groups(docs: DataFrame, *, shingle: int = 5, tau: int = 12, lanes: int = 4, ext_tau: int | None = 44, ratio: float | None = 0.8, distinct: bool = True) -> DataFrame:
     """One row per input row: ``doc_id, fp (long), component_id``.
 
     ``component_id`` is the smallest doc_id reachable over links.  With the
-    defaults two texts link at a 64-bit similarity of 0.8 (12 bits) over five-word
-    shingles, verified on 256 bits at 44 (a Jaccard similarity near 0.8) and on
+    defaults two texts link at a 64-bit similarity of 0.8 (12 bits) over distinct
+    five-word shingles, verified on 256 bits at 44 (a Jaccard similarity near 0.8) and on
     lengths.  Null doc_ids: they keep their fingerprint, take part in no group,
     and get a null component.  Repeated rows stay repeated.  Empty table: empty.
     """
-    fps = cut(fingerprints(docs, shingle, lanes), "fingerprints")
+    fps = cut(fingerprints(docs, shingle, lanes, distinct), "fingerprints")
     same = ["fp"] if ratio is None and ext_tau is None else ["fp", "ext", "n_shingles"]
     nodes = fps.filter("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
     for c, v in (("ext", F.lit(b"")), ("n_shingles", F.lit(0).cast("long"))):
@@ -430,5 +432,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = simhash_groups(docs, shingle=3, tau=2, lanes=1, ext_tau=None, ratio=None)
+    found = simhash_groups(docs, shingle=3, tau=2, lanes=1, ext_tau=None, ratio=None, distinct=False)
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")

@@ -77,7 +77,7 @@ def brute_groups(pairs, ids):
 
 
 def test_simhash_query_form(spark, odd, odd_rows, clashing, no_docs):
-    how = dict(shingle=3, tau=2, lanes=1, ext_tau=None, ratio=None)
+    how = dict(shingle=3, tau=2, lanes=1, ext_tau=None, ratio=None, distinct=False)
     got = [(r.doc_id, r.fp & 0xFFFFFFFFFFFFFFFF, r.component_id) for r in simhash_dedup.simhash_groups(odd, **how).collect()]
     fps = {}
     for r in odd_rows:
@@ -419,7 +419,7 @@ def test_pipeline_equals_brute_force(spark, odd_rows, tmp_path, small):
             kept[i] = (clean, s)
     fp = {}
     for i, (t, _) in kept.items():
-        h = simhash_dedup.shingle_hashes(t.encode(), 5)
+        h = np.unique(simhash_dedup.shingle_hashes(t.encode(), 5))
         fp[i] = ([simhash_dedup.majority(simhash_dedup.lane(h, k)) for k in range(4)], len(h))
 
     def near(a, b):

@@ -28,6 +28,8 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--no-augment", action="store_true")
         s.add_argument("--target-per-task", type=int, default=3)
         s.add_argument("--max-new-episodes", type=int, default=20)
+        s.add_argument("--catalog-backend", default="parquet")
+        s.add_argument("--catalog-target")
     s = sub.add_parser("scale")
     s.add_argument("--synthetic", action="store_true")
     s.add_argument("--raw")
@@ -76,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
 
     done = run_pipeline(
         spark, source, data_root=root, gates=gates, budget_gb=guard.budget_gb, origin=a.origin, do_augment=not a.no_augment,
-        target_per_task=a.target_per_task, max_new_episodes=a.max_new_episodes,
+        target_per_task=a.target_per_task, max_new_episodes=a.max_new_episodes, catalog_backend=a.catalog_backend, catalog_target=a.catalog_target,
     )
     print(json.dumps(done))
     return int(done["action"] != "ready")

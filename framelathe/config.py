@@ -96,3 +96,19 @@ def load_sources(path: str | Path) -> Sources:
     return Sources(
         float(raw.get("storage_budget_gb", 25.0)), raw.get("data_root", "./data"), tuple(Source(**s) for s in raw.get("sources") or ())
     )
+
+
+def load_env(path: str | Path = ".env") -> dict[str, str]:
+    """Set variables of a ``.env`` file that are not set yet; returns those it set."""
+    import os
+
+    out = {}
+    path = Path(path)
+    for line in path.read_text(encoding="utf-8").splitlines() if path.exists() else ():
+        line = line.strip()
+        if line and not line.startswith("#") and "=" in line:
+            k, v = (x.strip() for x in line.split("=", 1))
+            v = v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "'\"" else v
+            if k and k not in os.environ:
+                os.environ[k] = out[k] = v
+    return out

@@ -2,6 +2,6 @@
 
 from .acquire import acquire
 from .pipeline import run_pipeline
-from .validate import ingest, run_validation
+from .validate import ingest, run_signal_gates, run_validation
 
-__all__ = ["acquire", "ingest", "run_pipeline", "run_validation"]
+__all__ = ["acquire", "ingest", "run_pipeline", "run_signal_gates", "run_validation"]

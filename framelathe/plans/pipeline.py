@@ -15,6 +15,7 @@ from ..log import log_event
 from ..operators import augment, catalog
 from ..operators.budget import Guard
 from ..operators.calibrate import Calibration
+from ..operators.catalog_store import open_catalog
 from ..sources import Dataset
 from .acquire import acquire
 from .validate import copy_rest, run_validation, set_totals, write_data
@@ -61,11 +62,11 @@ def synthesise(spark: SparkSession, base: Dataset, out: Path, calibration: Calib
 
 def run_pipeline(
     spark: SparkSession, source: Source, *, data_root: str | Path, gates: QualityGates, budget_gb: float = 25.0, origin: str | Path | None = None,
-    do_augment: bool = True, target_per_task: int = 3, max_new_episodes: int = 20,
+    do_augment: bool = True, target_per_task: int = 3, max_new_episodes: int = 20, catalog_backend: str = "parquet", catalog_target: str | Path | None = None,
 ) -> dict:
     root = Path(data_root)
     guard = Guard(root, budget_gb)
-    versions = catalog.Catalog(spark, root / "catalog")
+    versions = open_catalog(spark, catalog_backend, catalog_target or root / ("catalog.db" if catalog_backend == "sqlite" else "catalog"))
     if not (root / "raw" / source.id).exists() and origin is not None:
         acquire(spark, origin, root / "raw" / source.id, guard)
     real = run_validation(spark, source.id, guard, root, gates)

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import QualityGates
+from ..config import QualityGates, SignalGates
 from ..log import log_event
 from ..operators.budget import Guard
 from ..operators.calibrate import Calibration, calibrate
@@ -77,6 +77,12 @@ def calibration_for(spark: SparkSession, dataset: Dataset, source_id: str, gates
     return built
 
 
+def run_signal_gates(spark: SparkSession, root: str | Path, gates: SignalGates, calibration: Calibration) -> DataFrame:
+    """Verdicts of a dataset folder's episodes, in order."""
+    d = Dataset(root)
+    return signal_gates(d.frames(spark), calibration, gates, d.info().get("fps")).orderBy("ep")
+
+
 def copy_rest(raw: Path, out: Path) -> None:
     """Metadata and videos, as they are."""
     for name in ("tasks.parquet", "tasks.jsonl", "stats.json", "info.json"):

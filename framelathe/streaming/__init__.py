@@ -1,6 +1,6 @@
 """Process and evict: a file stream of units under a byte budget."""
 
-from .evict import run_scale
+from .evict import resolve_calibration, run_scale
 from .synthetic import synthetic_store, unit_calibration
 
-__all__ = ["run_scale", "synthetic_store", "unit_calibration"]
+__all__ = ["resolve_calibration", "run_scale", "synthetic_store", "unit_calibration"]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import SignalGates
 from ..operators.budget import Guard, ScaleReport
-from ..operators.calibrate import Calibration
+from ..operators.calibrate import Calibration, calibrate
 from ..operators.curate import SAMPLE_FRAMES, passing, samples
 from ..operators.gates import signal_gates
 from ..sources import from_arrays
@@ -31,6 +31,23 @@ def unit_of(path: str) -> str:
     return f"{p.parent.name.split('-', 1)[-1]}-{p.stem.split('-', 1)[-1]}"
 
 
+def resolve_calibration(
+    spark: SparkSession, raw: str | Path, store: str | Path, *, dims: tuple[int, int], names: tuple[str, ...], percentile: float = 99.9, sample_files: int = 15
+) -> Calibration:
+    """The first stored calibration among ``names`` that fits, else one from the first files in order, stored under the last name."""
+    store = Path(store)
+    for n in names:
+        path = store / f"{n}.json"
+        if path.exists() and (have := Calibration.load(path)).fits(sum(dims), dims[1]):
+            return have
+    files = sorted((Path(raw) / "data").rglob("*.parquet"))[:sample_files]
+    if not files:
+        raise ValueError(f"no data below {raw} to calibrate on")
+    built = calibrate(from_arrays(spark.read.parquet(*map(str, files)), *dims), names[-1], percentile)
+    built.save(store / f"{names[-1]}.json")
+    return built
+
+
 def manifest(spark: SparkSession, root: Path) -> DataFrame:
     path = root / "manifest"
     if not path.exists():

@@ -186,3 +186,56 @@ def test_cli(spark, made, tmp_path, capsys):
 
 def test_validation_stops_where_nothing_was_acquired(spark, tmp_path):
     assert run_validation(spark, "none", Guard(tmp_path, 1), tmp_path, GATES).action == "error"
+
+
+def test_catalog_backends(spark, tmp_path):
+    from framelathe.operators.catalog_store import open_catalog
+
+    row = catalog.record(
+        spark.createDataFrame([(1,), (1,), (2,)], "episode_index bigint"), spark.createDataFrame([("b", 2), ("a", 1)], "task string, episodes bigint"),
+        version="v1", source="s", pass_rate=0.5, notes="first",
+    )
+    for backend in ("parquet", "sqlite"):
+        c = open_catalog(spark, backend, tmp_path / backend)
+        assert c.read().count() == 0
+        c.upsert(row)
+        c.upsert(row.withColumn("notes", F.lit("second")))
+        c.upsert(row.withColumn("dataset_version", F.lit("v0")))
+        got = c.read().orderBy("dataset_version").collect()
+        assert [(r.dataset_version, r.notes) for r in got] == [("v0", "first"), ("v1", "second")]
+        assert got[1].episode_count == 2 and got[1].frame_count == 3 and got[1].task_distribution == '{"a":1,"b":2}'
+        with pytest.raises(ValueError):
+            c.upsert(row.withColumn("source_id", F.lit(None).cast("string")))
+    with pytest.raises(ValueError):
+        open_catalog(spark, "mongo", tmp_path)
+    with pytest.raises(RuntimeError):
+        open_catalog(spark, "postgres", "x")
+
+
+def test_calibration_is_resolved(spark, tmp_path):
+    from framelathe.streaming import resolve_calibration
+
+    synthetic_store(spark, tmp_path / "raw", chunks=2, frames=100)
+    how = dict(dims=(7, 7), names=("dev", "own"))
+    first = resolve_calibration(spark, tmp_path / "raw", tmp_path / "c", **how, sample_files=1)
+    assert first.n_frames == 300 and (tmp_path / "c" / "own.json").exists()
+    assert resolve_calibration(spark, tmp_path / "none", tmp_path / "c", **how) == first
+    unit_calibration(9, 2).save(tmp_path / "c" / "dev.json")
+    assert resolve_calibration(spark, tmp_path / "none", tmp_path / "c", **how) == first
+    with pytest.raises(ValueError):
+        resolve_calibration(spark, tmp_path / "none", tmp_path / "d", **how)
+
+
+def test_manifest_documents_and_gates_of_a_folder(spark, made, tmp_path):
+    from framelathe.config import SignalGates, load_env
+    from framelathe.operators.report import manifests
+    from framelathe.plans import run_signal_gates
+
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text(json.dumps({"dataset_version": "v", "budget_bytes": 5, "processed_units": ["000-001"]}))
+    (tmp_path / "m" / "b.json").write_text("{broken")
+    assert [(r.dataset_version, r.budget_bytes) for r in manifests(spark, str(tmp_path / "m")).collect()] == [("v", 5)]
+    rows = run_signal_gates(spark, made, SignalGates(), unit_calibration()).collect()
+    assert [r.ep for r in rows] == list(range(9)) and [r.ep for r in rows if not r.passed] == [6]
+    (tmp_path / ".env").write_text("# no\nFRAMELATHE_X='1'\nPATH=other\n")
+    assert load_env(tmp_path / ".env") == {"FRAMELATHE_X": "1"}

@@ -21,13 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_written: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/framelathe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/framelathe/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that operators of this process wrote to the shared folder; their results must be stored by now."""
+    for path in list(_written):
+        remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -20,6 +20,8 @@ from ._common import balanced
 
 #: Labelled rows that training takes at most (about): the documented bound of the sample.
 SAMPLE_ROWS = 12_000
+#: Bytes of text that the sample takes at most (about); longer texts mean fewer rows.
+SAMPLE_BYTES = 96 << 20
 #: Features of the linear classifier.
 FEATURES = 6_000
 STEMS = (4, 5, 6)
@@ -162,16 +164,19 @@ def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """Texts and labels of about ``rows`` labelled rows at most, chosen by a hash of their doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """Texts and labels of about ``rows`` labelled rows and ``size`` bytes at most, chosen by a hash of their doc_id."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
-    n = known.count()
-    share = min(1.0, rows / max(1, n))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    million = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    share = min(1.0, rows / max(1, known.count()))
+    known = known.filter(million < int(share * 1_000_000))
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(known), F.col("_doc") == F.col("doc_id")).select("_doc", "text", "_toxic")  # bounded by rows
-    return [(r[1], r[2]) for r in sorted(got.collect(), key=lambda r: (r[0], r[1] or ""))]
+    found = texts.join(F.broadcast(known), F.col("_doc") == F.col("doc_id")).select("_doc", "text", "_toxic", million.alias("_m"))  # bounded by rows
+    held = found.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if held > size:
+        found = found.filter(F.col("_m") < int(share * size / held * 1_000_000))
+    return [(r[1], r[2]) for r in sorted(found.drop("_m").collect(), key=lambda r: (r[0], r[1] or ""))]
 
 
 def train(rows: list[tuple[str | None, int]]) -> tuple[dict[str, float], float]:

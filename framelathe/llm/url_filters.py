@@ -132,3 +132,47 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, **how
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("by")
+
+
+def _oracle(rounds: int = 12, damping: float = 0.85) -> str:
+    cases = sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
+    fit = [
+        (f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{rest}')", what, text)
+        for what, text in cases
+        for own, _, rest in [text.partition("/")]
+    ]
+    rule = " ".join(f"WHEN {c} THEN '{text}'" for c, _, text in fit)
+    ruled = " ".join(f"WHEN {c} THEN '{what}'" for c, what, _ in fit)
+    link = LINK.replace("'", "''")
+    steps = "".join(
+        f"""
+, s{k + 1} AS (
+  SELECT kind, host, sum(part) AS score FROM (
+    SELECT w.kind, b AS host, score * w * {damping}::DOUBLE AS part FROM s{k} JOIN ways w ON w.kind = s{k}.kind AND a = host
+    UNION ALL SELECT kind, host, seed * (1 - {damping}::DOUBLE) FROM seeds) GROUP BY kind, host)"""
+        for k in range(rounds)
+    )
+    return f"""
+WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, html, coalesce(rest, '') AS rest FROM u)
+), j AS (SELECT page_id, host, path, CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM p),
+share AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad, count(*) AS n FROM j WHERE host <> '' GROUP BY host),
+sh AS (SELECT 'trust' AS kind, host FROM share WHERE good * 2 > n UNION ALL SELECT 'distrust', host FROM share WHERE bad * 2 > n),
+seeds AS (SELECT kind, host, 1::DOUBLE / count(*) OVER (PARTITION BY kind) AS seed FROM sh),
+t AS (SELECT host AS src, translate(x, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS dst FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS x FROM p)),
+e AS (SELECT src, dst, count(*) AS n FROM t WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
+ways AS (
+  SELECT kind, a, b, n::DOUBLE / sum(n) OVER (PARTITION BY kind, a) AS w
+  FROM (SELECT 'trust' AS kind, src AS a, dst AS b, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e)
+), s0 AS (SELECT kind, host, seed AS score FROM seeds){steps}
+, h AS (
+  SELECT host, round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), 12) AS trust, round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), 12) AS distrust
+  FROM s{rounds} GROUP BY host
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust > 1e-6 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN h USING (host)
+"""
+
+
+ORACLE = _oracle()

@@ -113,7 +113,7 @@ def test_pigeonhole_loses_no_link(spark, tau, plan):
 
 
 def test_hot_values_are_split(spark, monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "BUCKET_ROWS", 60)
+    monkeypatch.setattr(simhash_dedup, "CELL_ROWS", 20)
     fps = sorted({(5 << 40) | x for x in range(400)})
     nodes = spark.createDataFrame([(i, f, 0, b"") for i, f in enumerate(fps)], "node long, fp long, n_shingles long, ext binary")
     edges = simhash_dedup.links(nodes, 2)
@@ -375,6 +375,15 @@ def test_toxicity_cases(spark, odd, clashing, no_docs):
     assert toxicity.toxicity(bad, none).first().predicted == 1
 
 
+def test_sample_is_bounded(spark):
+    d, l, _ = toxic_tables(spark)
+    every = toxicity.training_rows(d, l)
+    size = sum(len(t) for t, _ in every)
+    assert 200 < len(every) <= l.count() and 30 < len(toxicity.training_rows(d, l, rows=100)) < 180
+    few = toxicity.training_rows(d, l, size=size // 4)
+    assert 0 < sum(len(t) for t, _ in few) < size // 2 and set(few) <= set(every)
+
+
 def test_label_model_learns_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2

@@ -1,4 +1,7 @@
-"""Source manifest and quality gates, from YAML."""
+"""Source manifest and quality gates, from YAML.
+
+Names of fields are the keys of those files, and defaults those of a missing key: fixed values.
+"""
 
 from __future__ import annotations
 

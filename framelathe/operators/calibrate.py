@@ -14,12 +14,13 @@ from ..sources.frames import Frames
 from .jerk import with_jerk
 from .quantiles import exact_percentiles
 
+#: Scales a median absolute deviation to a standard deviation.  Fixed value.
 MAD_TO_STD = 1.4826
 
 
 @dataclass(frozen=True)
 class Calibration:
-    """Small, and always on the driver: gates take it as literals."""
+    """Small, and always on the driver: gates take it as literals.  Field names are those of the stored file, fixed."""
 
     source: str
     n_frames: int

@@ -67,6 +67,7 @@ def episode_metrics(frames: Frames, calibration: Calibration, fps: float | None
 
 def verdicts(metrics: DataFrame, gates: SignalGates = SignalGates()) -> DataFrame:
     """Metrics with ``reasons`` (in the order jerk, action, missing) and ``passed``; only what exceeds its limit fails."""
+    # the texts of reasons are fixed values
     tests = (
         ("jerk-anomalous frames", "jerk_anomalous_ratio", gates.max_anomalous_frame_ratio),
         ("action-anomalous frames", "action_anomalous_ratio", gates.max_anomalous_frame_ratio),

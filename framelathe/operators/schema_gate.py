@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import QualityGates
 from ..sources import Dataset
 
+#: Types of features that are files, not columns.  Fixed values, as are the texts of the reasons below.
 IMAGE_TYPES = ("image", "video")
 
 

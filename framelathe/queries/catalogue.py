@@ -51,7 +51,7 @@ def episode_verdicts(spark, sf_dir):
     return judged.withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query(f"WITH {FL_SQL} SELECT ep, rn, l_orderkey, l_linenumber, j_s0, j_s1, j_a0, j_a1 FROM fl WHERE rn > 3")
+@query(f"WITH {FL_SQL} SELECT ep, rn::INTEGER AS rn, l_orderkey, l_linenumber, j_s0, j_s1, j_a0, j_a1 FROM fl WHERE rn > 3")
 def jerk_third_difference(spark, sf_dir):
     return jerk_rows(views.line_frames(spark, sf_dir)).select("ep", "rn", "l_orderkey", "l_linenumber", "j_s0", "j_s1", "j_a0", "j_a1")
 
@@ -72,7 +72,7 @@ def score_thresholds(spark, sf_dir):
     return spark.createDataFrame([("jerk", c.jerk_score_threshold), ("action", c.action_score_threshold)], "kind string, threshold double")
 
 
-@query(f"WITH {FL_SQL}, {CAL_SQL} SELECT ep, rn, l_orderkey, l_linenumber, round_even(jerk_score, 6) AS jerk_score, round_even(action_score, 6) AS action_score FROM scored")
+@query(f"WITH {FL_SQL}, {CAL_SQL} SELECT ep, rn::INTEGER AS rn, l_orderkey, l_linenumber, round_even(jerk_score, 6) AS jerk_score, round_even(action_score, 6) AS action_score FROM scored")
 def frame_scores_all(spark, sf_dir):
     frames = views.line_frames(spark, sf_dir)
     df = frame_scores(frames, calibrate(frames, "lineitem"))
@@ -93,7 +93,7 @@ jc AS (SELECT i, median(x) AS c FROM jl GROUP BY i), js AS (SELECT i, any_value(
 ac AS (SELECT i, median(x) AS c FROM al GROUP BY i), sa AS (SELECT i, any_value(c) AS c, median(abs(x - c)) * 1.4826::DOUBLE AS s FROM al JOIN ac USING (i) GROUP BY i),
 jm AS (SELECT vec_id, max(coalesce(abs((x - c) / nullif(s, 0)), 0)) AS z FROM jl JOIN js USING (i) GROUP BY 1),
 am AS (SELECT vec_id, max(coalesce(abs((x - c) / nullif(s, 0)), 0)) AS z FROM al JOIN sa USING (i) GROUP BY 1)
-SELECT f.vec_id, rn, round_even(jm.z, 6) AS jerk_score, round_even(am.z, 6) AS action_score FROM f JOIN am USING (vec_id) LEFT JOIN jm USING (vec_id)
+SELECT f.vec_id, rn::INTEGER AS rn, round_even(jm.z, 6) AS jerk_score, round_even(am.z, 6) AS action_score FROM f JOIN am USING (vec_id) LEFT JOIN jm USING (vec_id)
 """
 
 
@@ -191,7 +191,7 @@ def quarantine_rejects(spark, sf_dir):
     return curate.rejects(judged_lines(spark, sf_dir)[1]).withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query(f"WITH {VERDICT_SQL} SELECT ep, rn, l_orderkey, l_linenumber, s0, s1, a0, a1 FROM fl WHERE rn <= 5 AND ep IN (SELECT ep FROM judged WHERE NOT passed)")
+@query(f"WITH {VERDICT_SQL} SELECT ep, rn::INTEGER AS rn, l_orderkey, l_linenumber, s0, s1, a0, a1 FROM fl WHERE rn <= 5 AND ep IN (SELECT ep FROM judged WHERE NOT passed)")
 def quarantine_samples(spark, sf_dir):
     frames, judged = judged_lines(spark, sf_dir)
     out = curate.samples(frames.df, judged, list(frames.order), "ep")

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, cut
-from .simhash_dedup import forest
 
-#: Nodes in a shard at most, about.
+#: Nodes in a shard at most, about, and queries that ask a shard together.
 SHARD = 8192
+BLOCK = 1024
 DEGREE = 16
 BUILD_BEAM = 64
 QUERY_BEAM = 64
@@ -192,7 +192,7 @@ def near(graph: Graph, q: np.ndarray, least: float, beam: int, take) -> None:
             again.append(part[full])
             a, c = np.nonzero((sim >= least) & ~full[:, None])
             take(part[a], ids[a, c])
-        rows, beam = np.concatenate(again) if again else rows[:0], beam * 2
+        rows, beam = np.concatenate(again) if again else rows[:0], beam * 4
 
 
 class Links:
@@ -201,19 +201,31 @@ class Links:
     def __init__(self, node: np.ndarray, ids: np.ndarray, mult: np.ndarray):
         self.node, self.ids, self.mult = node, ids, mult
         self.hits, self.count = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
-        self.found: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.names, at = np.unique(np.concatenate([node, ids]), return_inverse=True)
+        self.of_query, self.of_row = at[: len(node)], at[len(node) :]
+        self.root = np.arange(len(self.names))
+        self.a: list[int] = []
+        self.b: list[int] = []
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> None:
         self.hits += np.bincount(a, minlength=len(self.node))
         other = self.node[a] != self.ids[b]
         a, b = a[other], b[other]
         self.count += np.bincount(a, weights=self.mult[b], minlength=len(self.node)).astype(np.int64)
-        self.found.append((self.node[a], self.ids[b]))
-        self.held += len(a)
-        if self.held > 200_000:
-            self.found = [forest(self.found)]
-            self.held = len(self.found[0][0])
+        x, y = self.of_query[a], self.of_row[b]
+        while len(x):  # links within a tree go, one link is taken for each pair of trees
+            while (self.root != self.root[self.root]).any():
+                self.root = self.root[self.root]
+            rx, ry = self.root[x], self.root[y]
+            apart = rx != ry
+            x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+            _, one = np.unique(np.minimum(rx, ry) * len(self.root) + np.maximum(rx, ry), return_index=True)
+            for k in one.tolist():
+                i, j = max(rx[k], ry[k]), min(rx[k], ry[k])
+                if self.root[i] == i and self.root[j] == j:
+                    self.root[i] = j
+                    self.a.append(int(self.names[x[k]]))
+                    self.b.append(int(self.names[y[k]]))
 
 
 def audited(graph: Graph, links, q: np.ndarray, least: float, beam: int = QUERY_BEAM, recall: float = RECALL) -> Links:
@@ -255,22 +267,25 @@ def embedding_dedup(vectors: DataFrame, *, least: float = 0.93, shard: int = SHA
     good = rows.filter("ok")
     nodes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("vec"))
     nodes = cut(nodes, "vectors")
-    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    dealt = nodes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    ceil = lambda n: F.ceil(F.count(F.lit(1)) / n).cast("int")
+    sizes = nodes.groupBy("label", "dim").agg(ceil(shard).alias("shards"), ceil(min(shard, BLOCK)).alias("blocks"))
+    dealt = nodes.join(sizes, ["label", "dim"]).withColumns({
+        "shard": F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"), "block": F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"),
+    })
 
     def build(key, batch):
         node, m, x = table_of(batch)
         graph = Graph(node, x)
         raw = pickle.dumps((node, m, vars(graph)), protocol=5)  # numpy arrays only
         label, dim, shard = (k.as_py() for k in key)
-        return pa.table({"label": [label], "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "shards": pa.array([batch.column("shards")[0].as_py()], pa.int32()), "graph": pa.array([raw], pa.binary())})
+        return pa.table({"label": [label], "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "blocks": pa.array([batch.column("blocks")[0].as_py()], pa.int32()), "graph": pa.array([raw], pa.binary())})
 
     graphs = cut(
-        dealt.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard int, shards int, graph binary"), "graphs"
+        dealt.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard int, blocks int, graph binary"), "graphs"
     )
-    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    asked = dealt.select("label", "dim", F.col("shard").alias("block"), each.alias("shard"), "node", "m", "vec")
-    index = graphs.select("label", "dim", "shard", each.alias("block"), "graph")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = dealt.select("label", "dim", "block", each("shards").alias("shard"), "node", "m", "vec")
+    index = graphs.select("label", "dim", "shard", each("blocks").alias("block"), "graph")
     keys = ["label", "dim", "shard", "block"]
 
     def query(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -281,7 +296,7 @@ def embedding_dedup(vectors: DataFrame, *, least: float = 0.93, shard: int = SHA
         vars(graph).update(state)
         node, _, x = table_of(right)
         got = audited(graph, lambda: Links(node, ids, mult), x, least, beam, recall)
-        count, (fa, fb) = got.count, forest(got.found)
+        count, fa, fb = got.count, np.array(got.a, np.int64), np.array(got.b, np.int64)
         some = count > 0
         return pa.table({
             "a": pa.array(np.concatenate([node[some], fa])),
@@ -309,3 +324,19 @@ def embedding_dedup(vectors: DataFrame, *, least: float = 0.93, shard: int = SHA
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+ok AS MATERIALIZED (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+    AND len([x FOR x IN e IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), link AS (
+  SELECT a.k, a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.k <> b.k
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 ELSE false END
+), n AS (SELECT k, count(*) AS n FROM link GROUP BY k),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+c AS (SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, m) AS component_id FROM v LEFT JOIN n USING (k) LEFT JOIN comp ON a = vec_id)
+SELECT *, coalesce(vec_id = component_id, true) AS kept FROM c
+"""

@@ -16,6 +16,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op2_embedding_dedup": embedding_dedup.ORACLE,
+    "op4_url_filters": url_filters.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,

@@ -34,6 +34,11 @@ def no_pages(spark):
     return spark.createDataFrame([], PAGES)
 
 
+def page_table(rows):
+    cols = list(zip(*rows))
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["page_id", "url", "html"])
+
+
 # --- urls
 
 
@@ -59,6 +64,7 @@ def test_url_rules(spark, pages, no_pages):
         r = got[i]
         assert (r.host, r.path, r.rule) == (host, path, best and best[1]), url
         assert r.verdict == (best[0] if best else r.verdict) and r.by == ("rule" if best else "host") and r.verdict in ("allow", "block")
+    assert rows_of(url_filters.url_filter(pages).drop("by")) == rows_of_sql(url_filters.ORACLE, pages=page_table(ROWS))
     assert got[1].rule == "example.net/en/" and got[2].rule == "net/" and got[3].rule == "example.com/de/" and got[6].rule == "org/fr/"
     assert url_filters.url_filter(pages).count() == len(ROWS) and url_filters.url_filter(no_pages).count() == 0
 
@@ -105,6 +111,7 @@ def test_propagation_equals_brute_force(spark):
         assert r.verdict == (("block" if r.host in blocked else "allow") if r.rule is None else r.verdict)
     own = {(x.src, x.dst): x.n for x in url_filters.host_edges(pages).collect()}
     assert own == edges
+    assert rows_of(url_filters.url_filter(pages).drop("by")) == rows_of_sql(url_filters.ORACLE, pages=page_table(rows))
 
 
 # --- main text
@@ -262,6 +269,9 @@ def test_vectors_equal_brute_force(spark, shard):
     df = spark.createDataFrame(rows, VECTORS).withColumns({"node": F.lit("clash"), "m": F.lit(0), "vec": F.lit("x")}).repartition(3)
     got = sorted(map(tuple, embedding_dedup.embedding_dedup(df, shard=shard, beam=8).collect()), key=str)
     assert got == brute_vectors(rows)
+    named = [pa.array(c, k) for c, k in zip(zip(*[r for r in rows if r[0] is not None]), (pa.int64(), pa.list_(pa.float32()), pa.int32()))]
+    _, sql = rows_of_sql(embedding_dedup.ORACLE, embeddings=pa.table(named, names=["vec_id", "embedding", "label"]))
+    assert sorted((v, n, c, k) for c, k, n, v in sql) == sorted(x for x in got if x[0] is not None)
 
 
 def test_vector_edges(spark):

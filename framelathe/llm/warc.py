@@ -6,8 +6,8 @@ becomes its WARC equivalent: an identifier, a timestamp, a type and digests.
 Records with equal payloads become revisits of the one with the largest page_id.
 
 Archives are written and read by Spark's own text and binary-file formats, so
-any store that Spark reads will do.  A file holds at most ``ARCHIVE_BYTES`` of
-pages on average, since a reader takes a whole file at once.
+any store that Spark reads will do.  Pages are dealt anew where a
+file would hold over twice ``ARCHIVE_BYTES``, since a reader takes a whole file at once.
 """
 
 from __future__ import annotations
@@ -143,10 +143,10 @@ def write_arc(pages: DataFrame, path: str, *, version: int = 2, archive_bytes: i
     Version 1 has no place for the page_id: it is lost.
     """
     plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    size = plain.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-    files = -(-size // archive_bytes) or 1
-    if files > plain.rdd.getNumPartitions():
-        plain = plain.repartition(files)
+    each = plain.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("html").cast("long")).alias("n"))
+    size, most = each.agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) > 2 * archive_bytes:
+        plain = plain.repartition(-(-size // archive_bytes))
 
     def run(batches):
         out, held = [arc_start(f"{uuid.uuid4().hex}.arc", version)], 0

@@ -69,12 +69,12 @@ def center_scale(df: DataFrame, cols: list[Column]) -> tuple[list[float], list[f
     return center, scale, counts
 
 
-def calibrate(frames: Frames, source: str, percentile: float = 99.9) -> Calibration:
+def calibrate(frames: Frames, source: str, percentile: float = 99.9, hot_rows: int | None = None) -> Calibration:
     """Statistics pooled over all frames.  The jerk table is cached while it is read several times.
 
     Raises on frames without any jerk or action: there is nothing to calibrate on.
     """
-    jerked = with_jerk(frames).df.select(
+    jerked = with_jerk(frames, hot_rows).df.select(
         "rn", *[F.col(c) for c in frames.action], *[F.col(f"j_{c}") for c in frames.signal]
     ).persist()
     try:

@@ -25,22 +25,22 @@ def missing_ratio(n: Column, duration: Column, fps: float | None, nan_frames: Co
     return F.greatest(short, nan)
 
 
-def frame_scores(frames: Frames, calibration: Calibration) -> DataFrame:
+def frame_scores(frames: Frames, calibration: Calibration, hot_rows: int | None = None) -> DataFrame:
     """Frames with ``rn``, ``jerk_score`` (null for the first three of an episode) and ``action_score``."""
     if not calibration.fits(len(frames.signal), len(frames.action)):
         raise ValueError(
             f"calibration of {len(calibration.jerk_center)} and {len(calibration.action_center)} dimensions "
             f"for signals of {len(frames.signal)} and {len(frames.action)}"
         )
-    df = with_jerk(frames).df
+    df = with_jerk(frames, hot_rows).df
     jerk = row_score([F.col(f"j_{c}") for c in frames.signal], calibration.jerk_center, calibration.jerk_scale)
     action = row_score([F.col(c) for c in frames.action], calibration.action_center, calibration.action_scale)
     return df.withColumns({"jerk_score": F.when(F.col("rn") > 3, jerk), "action_score": action})
 
 
-def episode_metrics(frames: Frames, calibration: Calibration, fps: float | None = None) -> DataFrame:
+def episode_metrics(frames: Frames, calibration: Calibration, fps: float | None = None, hot_rows: int | None = None) -> DataFrame:
     """One row per episode, rounded as verdicts take it: ratios to six places, duration to four."""
-    df = frame_scores(frames, calibration)
+    df = frame_scores(frames, calibration, hot_rows)
     first = F.struct(*frames.order)
     clock = F.col(frames.ts).cast("double") if frames.ts else F.lit(None).cast("double")
     nan = F.lit(False)
@@ -93,5 +93,5 @@ def combined_rate(summaries: DataFrame) -> DataFrame:
     return got.select(half_even(F.col("p").cast("double") / F.nullif(F.col("t").cast("double"), F.lit(0.0)), 4).alias("pass_rate"))
 
 
-def signal_gates(frames: Frames, calibration: Calibration, gates: SignalGates = SignalGates(), fps: float | None = None) -> DataFrame:
-    return verdicts(episode_metrics(frames, calibration, fps), gates)
+def signal_gates(frames: Frames, calibration: Calibration, gates: SignalGates = SignalGates(), fps: float | None = None, hot_rows: int | None = None) -> DataFrame:
+    return verdicts(episode_metrics(frames, calibration, fps, hot_rows), gates)

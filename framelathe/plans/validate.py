@@ -17,6 +17,7 @@ from ..operators.budget import Guard
 from ..operators.calibrate import Calibration, calibrate
 from ..operators.curate import passing
 from ..operators.gates import signal_gates, summary
+from ..operators.jerk import HOT_ROWS
 from ..operators.schema_gate import SchemaResult, validate
 from ..sources import Dataset
 
@@ -72,7 +73,7 @@ def calibration_for(spark: SparkSession, dataset: Dataset, source_id: str, gates
         return Calibration.load(path)
     if wanted != source_id:
         log_event("calibration_fallback", wanted=wanted, using=source_id)
-    built = calibrate(dataset.frames(spark), source_id, gates.signal.anomaly_percentile)
+    built = calibrate(dataset.frames(spark), source_id, gates.signal.anomaly_percentile, HOT_ROWS)
     built.save(path)
     return built
 
@@ -116,7 +117,7 @@ def run_validation(spark: SparkSession, source_id: str, guard: Guard, data_root:
     raw, out = root / "raw" / source_id, root / "curated" / source_id
     dataset = Dataset(raw)
     calibration = calibration_for(spark, dataset, source_id, gates, root)
-    judged = signal_gates(dataset.frames(spark), calibration, gates.signal, dataset.info().get("fps")).persist()
+    judged = signal_gates(dataset.frames(spark), calibration, gates.signal, dataset.info().get("fps"), HOT_ROWS).persist()
     try:
         total = summary(judged).first()
         if out.exists():

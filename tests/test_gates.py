@@ -150,3 +150,18 @@ def test_action_alone_without_state(spark):
     df = spark.createDataFrame([([float(i % 3)], float(i), 0) for i in range(9)], "action array<float>, timestamp float, episode_index bigint")
     f = from_arrays(df, 7, 1)
     assert isinstance(f, Frames) and f.state == () and f.order == ("o_timestamp",)
+
+
+def test_long_episodes_are_split_without_a_trace(spark):
+    from framelathe.operators.jerk import with_jerk
+
+    rng = np.random.default_rng(5)
+    rows = [(e, float(t // 3), t % 3, float(rng.normal()), float(rng.normal())) for e, n in ((1, 700), (2, 30), (3, 410)) for t in range(n)]
+    df = spark.createDataFrame(rows, "ep bigint, o1 double, o2 bigint, s0 double, a0 double").repartition(4)
+    f = Frames(df, "ep", ("o1", "o2"), ("s0",), ("a0",))
+    want = sorted(map(tuple, with_jerk(f).df.collect()), key=str)
+    for segment in (50, 97, 1000):
+        got = with_jerk(f, hot_rows=100, segment_rows=segment).df
+        assert sorted(map(tuple, got.select("ep", "o1", "o2", "s0", "a0", "rn", "j_s0", "j_a0").collect()), key=str) == want
+    tied = f.with_df(df.withColumn("o2", F.col("o1").cast("bigint") * 10 + F.col("o2")).withColumn("o1", F.lit(1.0)))
+    assert with_jerk(tied, hot_rows=100, segment_rows=50).df.filter("j_s0 is null").count() == 9

@@ -136,7 +136,7 @@ def test_thresholds_sum_and_minimise():
 
     def cost(row, ts):
         return sum(
-            sum(hist[i][simhash_dedup.sketch_cell(np.array([row[i] ^ int(f)]))[0]] for r in range(ts[i] + 1) for f in masks[i][r]) + 500 * simhash_dedup.ball(width, ts[i])
+            sum(hist[i][simhash_dedup.sketch_cell(np.array([row[i] ^ int(f)]))[0]] for r in range(ts[i] + 1) for f in masks[i][r]) + simhash_dedup.ROW_COST * simhash_dedup.ball(width, ts[i])
             for i in range(parts) if ts[i] >= 0
         )
 

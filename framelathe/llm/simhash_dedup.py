@@ -30,10 +30,12 @@ from ._common import balanced, components, cut, hex64
 SEED = 42
 #: Rows that a bucket of the join should hold.
 BUCKET_ROWS = 24_000
+#: Index entries of one key that meet its probes in one cell; a larger key is split over a grid of cells.
+CELL_ROWS = 24_000
 #: Counters per partition in the broadcast histogram (its size bound: parts * 2^16 * 4 bytes).
 SKETCH_BITS = 16
-#: What a probe or index row costs, in comparisons of two fingerprints.
-ROW_COST = 500
+#: What a probe or index row costs, in comparisons of two fingerprints: time, and room on disk.
+ROW_COST = 4000
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
@@ -361,7 +363,7 @@ def links(nodes: DataFrame, tau: int, *, plan: tuple[int, int] | None = None, la
                 share = np.array([band_cells.get(int(x), 0) for x in band]) / max(1, n)
             else:
                 share = 1.0
-            return np.maximum(1, np.ceil(hist[i][sketch_cell(v)] * share / (BUCKET_ROWS // 3))).astype(np.int64)
+            return np.maximum(1, np.ceil(hist[i][sketch_cell(v)] * share / CELL_ROWS)).astype(np.int64)
 
         def rows(which, i, band, v, probe):
             side = cells(i, band, v)

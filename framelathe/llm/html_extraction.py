@@ -2,7 +2,7 @@
 
 A page becomes a list of text blocks without nesting.  Each block has its word
 count and link density, those of its neighbours, and which kind of element it
-lies in; a decision tree, trained on the small labelled table below, says
+lies in (and whether any lies in an article's); a decision tree, trained on the small labelled table below, says
 whether it belongs to the article.
 """
 
@@ -44,7 +44,8 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies res
 MAIN_WORDS = frozenset("article content main post entry story".split())
 
 #: The labelled table: words, link density, words and density of the block before and of the one after,
-#: place (1 in the article's element, -1 in a boilerplate element, 0 in neither), heading; label (1: article).
+#: place (1 in the article's element, -1 in a boilerplate element, 0 in neither, -0.5 in neither on a page that
+#: has an article's element), heading; label (1: article).
 LABELLED = (
     (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, -1, 0, 0),
     (12, 0.0, 2, 1.0, 8, 0.0, -1, 0, 0), (30, 0.0, 1, 1.0, 60, 0.0, -1, 0, 0), (45, 0.1, 80, 0.0, 6, 0.0, -1, 0, 0),
@@ -62,30 +63,43 @@ LABELLED = (
     (35, 0.2, 6, 0.0, 28, 0.0, 0, 0, 1), (150, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1), (18, 0.0, 20, 0.0, 16, 0.0, 0, 0, 1),
     (4, 0.0, 30, 0.0, 40, 0.0, 0, 0, 1), (2, 0.0, 50, 0.0, 25, 0.0, 0, 0, 1), (2, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0),
     (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0), (6, 0.0, 6, 0.0, 3, 0.9, 0, 0, 0), (24, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1),
+    (1, 1.0, 1, 1.0, 75, 0.0, 0, 0, 0), (2, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0), (4, 1.0, 2, 1.0, 120, 0.0, 0, 0, 0), (6, 0.9, 3, 0.0, 45, 0.1, 0, 0, 0),
+    (85, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1), (60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (95, 0.1, 2, 1.0, 90, 0.0, 0, 0, 1), (45, 0.0, 70, 0.0, 1, 1.0, 0, 0, 1),
 )
 
+#: Blocks outside the article's element of a page that has one, with the same columns.
+OUTSIDE = (
+    (3, 0.0, 0, 0.0, 9, 0.0, -0.5, 0, 0), (40, 0.0, 2, 1.0, 60, 0.0, -0.5, 0, 0), (12, 0.0, 30, 0.0, 80, 0.0, -0.5, 0, 0), (5, 0.0, 1, 1.0, 45, 0.0, -0.5, 1, 0),
+    (90, 0.0, 70, 0.0, 0, 0.0, -0.5, 0, 0), (25, 0.4, 6, 0.0, 20, 0.0, -0.5, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, -0.5, 0, 0), (60, 0.1, 9, 0.0, 150, 0.0, -0.5, 0, 0),
+)
+
+
+#: Columns of the table that a split considers first: where a block lies says more than what it holds.
+TIERS = ((6,), (0, 1, 2, 3, 4, 5, 7))
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 7):
     """A classification tree by Gini impurity: a label, or (feature, threshold, tree up to it, tree above)."""
     if depth == 0 or len(set(y.tolist())) == 1:
         return int(y.mean() >= 0.5)
     gini = lambda v: len(v) * (v.mean() * (1 - v.mean())) if len(v) else 0.0
-    best = (gini(y) - 1e-9, None)
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
+    for tier in TIERS:
+        best = (gini(y) - 1e-9, None)
+        for f in tier:
+            values = np.unique(x[:, f])
+            for t in (values[1:] + values[:-1]) / 2:
+                low = x[:, f] <= t
+                cost = gini(y[low]) + gini(y[~low])
+                if cost < best[0] - 1e-9:
+                    best = (cost, (f, float(t)))
+        if best[1] is not None:
+            f, t = best[1]
             low = x[:, f] <= t
-            cost = gini(y[low]) + gini(y[~low])
-            if cost < best[0] - 1e-9:
-                best = (cost, (f, float(t)))
-    if best[1] is None:
-        return int(y.mean() >= 0.5)
-    f, t = best[1]
-    low = x[:, f] <= t
-    return (f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+            return (f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return int(y.mean() >= 0.5)
 
 
-def train(rows=LABELLED):
+def train(rows=LABELLED + OUTSIDE):
     table = np.array(rows, float)
     return grow(table[:, :-1], table[:, -1])
 
@@ -181,17 +195,18 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
     edge = ("", 0, 0, 0, 0)
+    outside = -0.5 if any(b[3] == 1 for b in found) else 0
     kept = []
     for k, (text, words, linked, place, heading) in enumerate(found):
         before = found[k - 1] if k else edge
         after = found[k + 1] if k + 1 < len(found) else edge
-        x = (words, linked / words, before[1], before[2] / max(1, before[1]), after[1], after[2] / max(1, after[1]), place, heading)
+        x = (words, linked / words, before[1], before[2] / max(1, before[1]), after[1], after[2] / max(1, after[1]), place or outside, heading)
         if says(tree, x):
             kept.append(text)
     return " ".join(kept)
 
 
-def extract(pages: DataFrame, labelled=LABELLED) -> DataFrame:
+def extract(pages: DataFrame, labelled=LABELLED + OUTSIDE) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
     Null and empty html give an empty text.  Character references are decoded,

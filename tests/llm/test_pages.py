@@ -129,6 +129,8 @@ def test_main_text_cases():
         '<section class="comments"><article><p>reader says a lot of words here</p></article></section>', '<div role="navigation">a b c</div>', "<noscript>enable it</noscript>",
     ):
         assert say(shell.format(extra + art + extra)) == "Head & line Ti. One two three four item last", extra
+    for extra in ("<div>We changed our terms, please read them before you go on with this site today</div>", "<div class=x7><p>" + "Buy one and get one more " * 9 + "</p></div>", "<p>By the way.</p>"):
+        assert say(shell.format(extra + art + extra)) == "Head & line Ti. One two three four item last", extra
     inner = art.replace("<ul>", "<aside>no</aside><div class='share'>no</div><form>no</form><ul>")
     assert say(shell.format(inner)) == "Head & line Ti. One two three four item last"
     assert say("<div><p>" + "long body text " * 20 + "</p><p>short.</p><p>" + "more body text " * 20 + "</p></div>").count("short.") == 1
@@ -156,8 +158,12 @@ def test_extract_of_generated_pages(spark, small):
 
 def test_tree_fits_its_table():
     tree = html_extraction.train()
-    wrong = sum(html_extraction.says(tree, x[:-1]) != x[-1] for x in html_extraction.LABELLED)
+    wrong = sum(html_extraction.says(tree, x[:-1]) != x[-1] for x in html_extraction.LABELLED + html_extraction.OUTSIDE)
     assert wrong <= 2
+    bare = lambda *blocks: html_extraction.main_text("".join(f"<div>{b}</div>" for b in blocks), tree)
+    long = "many words of an article in a page that says nothing of its structure " * 6
+    assert bare("<a>Home</a>", "<a>News</a>", long, "Short line.", long, "<a>More</a>", "<a>Next</a>").split(" ")[:2] == ["many", "words"]
+    assert bare(long, long).count("structure") == 12 and "Home" not in bare("<a>Home</a>", "<a>News</a>", long, long)
 
 
 # --- archives

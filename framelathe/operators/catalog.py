@@ -17,7 +17,7 @@ SCHEMA = (
 
 def first_tasks(frames: DataFrame, order: list[str], ep: str = "episode_index", task: str = "task_index") -> DataFrame:
     """``ep, task_index``: the task of each episode's first frame; 0 where frames have no task."""
-    value = F.min_by(F.col(task), F.struct(*order)) if task in frames.columns else F.lit(0)
+    value = F.min_by(F.col(task), F.struct(*order) if len(order) > 1 else F.col(order[0])) if task in frames.columns else F.lit(0)
     return frames.groupBy(F.col(ep).alias("ep")).agg(F.coalesce(value.cast("bigint") if task in frames.columns else F.max(F.lit(0)), F.lit(0)).cast("bigint").alias("task_index"))
 
 

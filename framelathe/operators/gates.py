@@ -41,14 +41,13 @@ def frame_scores(frames: Frames, calibration: Calibration, hot_rows: int | None
 def episode_metrics(frames: Frames, calibration: Calibration, fps: float | None = None, hot_rows: int | None = None) -> DataFrame:
     """One row per episode, rounded as verdicts take it: ratios to six places, duration to four."""
     df = frame_scores(frames, calibration, hot_rows)
-    first = F.struct(*frames.order)
     clock = F.col(frames.ts).cast("double") if frames.ts else F.lit(None).cast("double")
     nan = F.lit(False)
     for c in frames.signal:
         nan = nan | F.isnan(c)
     by = df.groupBy(F.col(frames.ep).alias("ep")).agg(
         F.count(F.lit(1)).alias("n_frames"),
-        (F.max_by(clock, first) - F.min_by(clock, first)).alias("duration"),
+        (F.max_by(clock, "rn") - F.min_by(clock, "rn")).alias("duration"),
         F.count_if(F.col("jerk_score").isNotNull()).alias("n_jerk"),
         F.count_if(F.col("jerk_score") > calibration.jerk_score_threshold).alias("jerk_bad"),
         F.count_if(F.col("action_score") > calibration.action_score_threshold).alias("action_bad"),

@@ -2,8 +2,8 @@
 
 Rules judge the urls they fit.  For the rest, hosts are judged: personalised
 PageRank flows from trusted hosts along links, distrust from blocked hosts
-against them (who links to a blocked host is suspect), and a host whose
-distrust passes a threshold and its trust is blocked.
+against them (who links to a blocked host is suspect).  A host is blocked if its
+distrust passes its trust and enough of its own links lead to blocked hosts.
 """
 
 from __future__ import annotations
@@ -57,17 +57,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
-    """``kind, host, score`` after ``rounds`` steps from ``seeds(kind, host, seed)``, seeds summing to 1 by kind.
+    """``kind, host, score`` after ``rounds`` steps from ``seeds(kind, host, seed)``.
 
     Kind ``trust`` follows ``edges``, kind ``distrust`` goes against them; a
-    host shares its score among its links by their counts.  Mass at hosts
-    without a way on is lost.  Lineage is cut every few rounds.
+    host shares its score among its links by their counts.  Kind ``leads`` goes
+    against them too, but whole: a host takes from each it links to by the share
+    of its own links.  Mass at hosts without a way on is lost.  Lineage is cut
+    every few rounds.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").union(
         edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n")
     )
     total = both.groupBy("kind", "a").agg(F.sum("n").alias("all"))
     ways = cut(both.join(total, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w")), "ways")
+    leads = ways.filter("kind = 'trust'").select(F.lit("leads").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), "w")
+    ways = ways.union(leads)
     start = cut(seeds, "seeds")
     score = start.select("kind", "host", F.col("seed").alias("score"))
     if not ways.take(1):  # nothing flows
@@ -85,11 +89,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
 
 
 def host_verdicts(pages: DataFrame, judged: DataFrame, *, floor: float = 1e-6, **how) -> DataFrame:
-    """``host, trust, distrust, blocked``; only hosts that any score reaches.
+    """``host, trust, distrust, leads, blocked``; only hosts that any score reaches.
 
     Seeds are hosts most of whose pages a rule allows, or blocks; each kind's
-    seeds share a mass of one.  Scores are rounded to 12 places, so their order
-    of addition can't change a verdict.
+    seeds share a mass of one.  Distrust thins out with the number of seeds and
+    of hosts that link to one, so ``floor`` is held against ``leads``: from one
+    at every blocked seed, the damped share of a host's links that lead there,
+    which the rest of the graph doesn't change.  ``leads`` is rounded and scores
+    are compared with a margin, so their order of addition can't change a verdict.
     """
     share = judged.filter("host <> ''").groupBy("host").agg(
         F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count(F.lit(1)).alias("n")
@@ -103,12 +110,13 @@ def host_verdicts(pages: DataFrame, judged: DataFrame, *, floor: float = 1e-6, *
     )
     seeds = cut(seeds, "seed-hosts")
     count = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("all"))  # two rows
-    seeds = seeds.join(F.broadcast(count), "kind").select("kind", "host", (F.lit(1.0) / F.col("all")).alias("seed"))
+    whole = seeds.filter("kind = 'distrust'").select(F.lit("leads").alias("kind"), "host", F.lit(1.0).alias("seed"))
+    seeds = seeds.join(F.broadcast(count), "kind").select("kind", "host", (F.lit(1.0) / F.col("all")).alias("seed")).union(whole)
     score = propagate(host_edges(pages), seeds, **how)
     by = score.groupBy("host").agg(
-        *[F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 12).alias(k) for k in ("trust", "distrust")]
+        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust", "leads")]
     )
-    return by.withColumn("blocked", (F.col("distrust") > floor) & (F.col("distrust") > F.col("trust")))
+    return by.withColumn("blocked", (F.round("leads", 12) > floor) & (F.col("distrust") > F.col("trust") * (1 + 1e-9)))
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, **how) -> DataFrame:

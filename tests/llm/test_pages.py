@@ -114,6 +114,18 @@ def test_propagation_equals_brute_force(spark):
     assert rows_of(url_filters.url_filter(pages).drop("by")) == rows_of_sql(url_filters.ORACLE, pages=page_table(rows))
 
 
+@pytest.mark.parametrize("seeds,linkers,idle", [(1, 1, 0), (1000, 200, 0), (100_000, 1, 0), (1, 130_000, 0), (1, 130_000, 100_000)])
+def test_link_pattern_is_blocked_at_any_size(spark, seeds, linkers, idle):
+    """Who links to a blocked host only is blocked, however many seeds there are and however many link to one."""
+    n = seeds * linkers
+    made = lambda k, url, html: spark.range(k).select(F.col("id").alias("page_id"), F.expr(url).alias("url"), F.expr(html).alias("html"))
+    pages = made(n, "concat('http://l', id, '.com/x')", f"concat('<a href=\"http://s', id div {linkers}, '.net/\">y</a>')")
+    pages = pages.union(made(seeds, "concat('http://s', id, '.net/')", "''")).union(made(idle, "concat('http://i', id, '.net/')", "''"))
+    pages = pages.union(made(3, "concat('http://free', id, '.com/')", "'<a href=\"http://free9.com/\">y</a>'"))
+    by = url_filters.url_filter(pages).filter("rule is null").groupBy("verdict").agg(F.count("*").alias("n"), F.min("host").alias("low")).collect()
+    assert sorted((r.verdict, r.n, r.low) for r in by) == [("allow", 3, "free0.com"), ("block", n, "l0.com")]
+
+
 # --- main text
 
 

@@ -44,8 +44,8 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies res
 MAIN_WORDS = frozenset("article content main post entry story".split())
 
 #: The labelled table: words, link density, words and density of the block before and of the one after,
-#: place (1 in the article's element, -1 in a boilerplate element, 0 in neither, -0.5 in neither on a page that
-#: has an article's element), heading; label (1: article).
+#: place (1 in the article's element or one named like it, -1 in a boilerplate element, 0 in neither, -0.5 in neither
+#: on a page that has an <article> or <main>), heading; label (1: article).
 LABELLED = (
     (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, -1, 0, 0),
     (12, 0.0, 2, 1.0, 8, 0.0, -1, 0, 0), (30, 0.0, 1, 1.0, 60, 0.0, -1, 0, 0), (45, 0.1, 80, 0.0, 6, 0.0, -1, 0, 0),
@@ -110,8 +110,11 @@ def says(tree, x) -> int:
     return tree
 
 
-def place_of(tag: str, attrs: str, above: int, fixed: bool) -> tuple[int, bool]:
-    """Place of what an element holds, given that of the element around it; fixed: nothing below changes it."""
+def place_of(tag: str, attrs: str, above: float, fixed: bool) -> tuple[float, bool]:
+    """Place of what an element holds, given that of the element around it; fixed: nothing below changes it.
+
+    0.5 stands for elements only named like an article's: a class may mark a title or a byline alone.
+    """
     if fixed:
         return above, True
     words: set[str] = set()
@@ -124,18 +127,18 @@ def place_of(tag: str, attrs: str, above: int, fixed: bool) -> tuple[int, bool]:
     if tag in MAIN_TAGS:
         return (-1 if words & BOILER_WORDS - {"header", "related", "share"} else 1), False
     if tag == "header":
-        return (above if above == 1 else -1), False
+        return (above if above > 0 else -1), False
     if words & BOILER_WORDS:
         return -1, False
     if above == 0 and words & MAIN_WORDS:
-        return 1, False
+        return 0.5, False
     return above, False
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
+def blocks(page: str) -> list[tuple[str, int, int, float, int]]:
     """Flat blocks: text, words, words in links, place, heading."""
-    out: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, place, fixed, in a link, in a heading
+    out: list[tuple[str, int, int, float, int]] = []
+    stack: list[tuple[str, float, bool, bool, bool]] = []  # tag, place, fixed, in a link, in a heading
     place, fixed, link, heading = 0, False, False, False
     parts: list[tuple[str, bool]] = []
     at = 0
@@ -200,7 +203,7 @@ def main_text(page: str | None, tree) -> str:
     for k, (text, words, linked, place, heading) in enumerate(found):
         before = found[k - 1] if k else edge
         after = found[k + 1] if k + 1 < len(found) else edge
-        x = (words, linked / words, before[1], before[2] / max(1, before[1]), after[1], after[2] / max(1, after[1]), place or outside, heading)
+        x = (words, linked / words, before[1], before[2] / max(1, before[1]), after[1], after[2] / max(1, after[1]), 1 if place > 0 else place or outside, heading)
         if says(tree, x):
             kept.append(text)
     return " ".join(kept)

@@ -152,6 +152,18 @@ def test_main_text_cases():
     assert say("</div></p></article><article>ok</div> on") == "ok on"
 
 
+def test_named_elements_drop_no_text():
+    """Without <article> and <main>, a class like an article's on a title or a byline costs no other block."""
+    tree = html_extraction.train()
+    say = lambda h: html_extraction.main_text(h, tree)
+    body = "some words of a body that is long enough to be one " * 25
+    for name in ("article", "content", "main", "post", "entry", "story"):
+        for head in (f'<h1 class="{name}-title">Title</h1>', f'<div class="{name}-meta">By X</div>', f'<div id="{name}"><span>By X</span></div>'):
+            for wrap in ('<div class="text"><p>{}</p></div>', "<div>{}</div>", "<p>{}</p><p>{}</p>"):
+                assert say(f"<body><div><a href=/>Home</a></div>{head}{wrap.replace('{}', body)}</body>").count("enough") == 25 * wrap.count("{}"), (head, wrap)
+    assert say(f'<body><div>outer words</div><div class="content"><p>{body}</p></div></body>').count("enough") == 25
+
+
 def test_extract_rows(spark, pages, no_pages):
     got = html_extraction.extract(pages.withColumn("text", F.lit("clash"))).collect()
     assert len(got) == len(ROWS) and all(r.n_chars == len(r.text) for r in got) and {r.page_id: r.text for r in got}[4] == ""

@@ -54,7 +54,7 @@ LABELLED = (
     (8, 0.0, 12, 0.0, 70, 0.0, 1, 1, 1), (70, 0.0, 8, 0.0, 1, 0.0, 1, 0, 1), (1, 0.0, 70, 0.0, 55, 0.0, 1, 0, 1),
     (2, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (55, 0.2, 1, 0.0, 9, 0.0, 1, 0, 1), (6, 0.0, 1, 1.0, 0, 0.0, 1, 0, 1),
     (140, 0.0, 20, 0.0, 9, 0.0, 1, 0, 1), (3, 1.0, 80, 0.0, 60, 0.0, 1, 0, 1), (10, 0.4, 2, 1.0, 30, 0.0, 1, 0, 1),
-    (1, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (25, 1.0, 25, 1.0, 25, 1.0, 1, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
+    (1, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (25, 1.0, 25, 1.0, 25, 1.0, 1, 0, 0), (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0), (5, 0.8, 2, 1.0, 9, 0.0, 0, 0, 0),
     (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (4, 0.0, 5, 0.8, 3, 0.6, 0, 0, 0), (7, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0),
     (14, 0.9, 60, 0.0, 12, 0.9, 0, 0, 0), (30, 0.7, 12, 0.9, 4, 0.0, 0, 0, 0), (6, 0.0, 2, 1.0, 80, 0.0, 0, 1, 1),
@@ -65,6 +65,14 @@ LABELLED = (
     (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0), (6, 0.0, 6, 0.0, 3, 0.9, 0, 0, 0), (24, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1),
     (1, 1.0, 1, 1.0, 75, 0.0, 0, 0, 0), (2, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0), (4, 1.0, 2, 1.0, 120, 0.0, 0, 0, 0), (6, 0.9, 3, 0.0, 45, 0.1, 0, 0, 0),
     (85, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1), (60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (95, 0.1, 2, 1.0, 90, 0.0, 0, 0, 1), (45, 0.0, 70, 0.0, 1, 1.0, 0, 0, 1),
+    # lists of links in the article's element, and single links and text beside links there
+    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0), (6, 0.9, 4, 1.0, 5, 1.0, 1, 0, 0), (12, 1.0, 9, 1.0, 8, 1.0, 1, 0, 0),
+    (3, 1.0, 60, 0.0, 3, 1.0, 1, 0, 0), (3, 1.0, 3, 1.0, 60, 0.0, 1, 0, 0), (2, 1.0, 80, 0.1, 2, 1.0, 1, 0, 0), (5, 1.0, 4, 1.0, 0, 0.0, 1, 0, 0),
+    (60, 1.0, 40, 1.0, 50, 1.0, 1, 0, 0), (8, 0.8, 9, 0.9, 7, 0.8, 1, 0, 0), (4, 1.0, 4, 1.0, 30, 0.0, 1, 0, 0),
+    (6, 1.0, 40, 0.0, 50, 0.0, 1, 0, 1), (2, 1.0, 0, 0.0, 70, 0.0, 1, 0, 1), (1, 1.0, 30, 0.1, 9, 0.0, 1, 0, 1), (25, 1.0, 60, 0.0, 40, 0.0, 1, 0, 1),
+    (8, 1.0, 70, 0.0, 0, 0.0, 1, 0, 1), (1, 1.0, 0, 0.0, 0, 0.0, 1, 0, 1), (30, 0.4, 40, 0.1, 30, 0.4, 1, 0, 1), (14, 0.5, 9, 0.3, 2, 1.0, 1, 0, 1),
+    (3, 0.0, 4, 1.0, 5, 1.0, 1, 0, 1), (40, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1), (12, 0.0, 9, 1.0, 60, 0.0, 1, 0, 1), (90, 0.0, 3, 1.0, 70, 0.0, 1, 0, 1),
+    (5, 0.3, 4, 1.0, 6, 1.0, 1, 0, 1), (2, 0.5, 3, 1.0, 3, 1.0, 1, 0, 1),
 )
 
 #: Blocks outside the article's element of a page that has one, with the same columns.
@@ -74,29 +82,24 @@ OUTSIDE = (
 )
 
 
-#: Columns of the table that a split considers first: where a block lies says more than what it holds.
-TIERS = ((6,), (0, 1, 2, 3, 4, 5, 7))
-
-
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 7):
     """A classification tree by Gini impurity: a label, or (feature, threshold, tree up to it, tree above)."""
     if depth == 0 or len(set(y.tolist())) == 1:
         return int(y.mean() >= 0.5)
     gini = lambda v: len(v) * (v.mean() * (1 - v.mean())) if len(v) else 0.0
-    for tier in TIERS:
-        best = (gini(y) - 1e-9, None)
-        for f in tier:
-            values = np.unique(x[:, f])
-            for t in (values[1:] + values[:-1]) / 2:
-                low = x[:, f] <= t
-                cost = gini(y[low]) + gini(y[~low])
-                if cost < best[0] - 1e-9:
-                    best = (cost, (f, float(t)))
-        if best[1] is not None:
-            f, t = best[1]
+    best = (gini(y) - 1e-9, None)
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for t in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= t
-            return (f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
-    return int(y.mean() >= 0.5)
+            cost = gini(y[low]) + gini(y[~low])
+            if cost < best[0] - 1e-9:
+                best = (cost, (f, float(t)))
+    if best[1] is None:
+        return int(y.mean() >= 0.5)
+    f, t = best[1]
+    low = x[:, f] <= t
+    return (f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
 
 
 def train(rows=LABELLED + OUTSIDE):

@@ -164,6 +164,20 @@ def test_named_elements_drop_no_text():
     assert say(f'<body><div>outer words</div><div class="content"><p>{body}</p></div></body>').count("enough") == 25
 
 
+def test_link_lists_in_the_article_go():
+    """Words and link density of a block and its neighbours judge what lies in an article's element too."""
+    tree = html_extraction.train()
+    say = lambda h: html_extraction.main_text(h, tree)
+    long = "plain words of a body " * 12
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>{k} more</a></li>" for k in ("home", "news", "sport", "about")) + "</ul>"
+    for wrap in ("<article>{}</article>", "<main>{}</main>", '<div id="content">{}</div>'):
+        for inner in (f"{menu}<p>{long}</p><p>{long}</p>", f"<p>{long}</p>{menu}<p>{long}</p>", f"<p>{long}</p><p>{long}</p>{menu}"):
+            out = say(wrap.format(inner))
+            assert out.count("plain") == 24 and "more" not in out, (wrap, inner[:40])
+        assert "see this" in say(wrap.format(f"<p>{long}</p><p><a href=/x>see this</a></p><p>{long}</p>"))
+        assert "Two." in say(wrap.format(f"{menu}<p>Two.</p>{menu}<p>{long}</p>"))
+
+
 def test_extract_rows(spark, pages, no_pages):
     got = html_extraction.extract(pages.withColumn("text", F.lit("clash"))).collect()
     assert len(got) == len(ROWS) and all(r.n_chars == len(r.text) for r in got) and {r.page_id: r.text for r in got}[4] == ""

@@ -68,13 +68,13 @@ def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs, no nulls) by alternating star contraction.
 
     Returns ``node, component``, the component being its smallest node.  Each
     round is two joins of the links with their per-node minima and ends in a
     written table; links only shrink towards stars, so a round never grows the
-    data.  Stops when no link changes.  No links: an empty table.
+    data.  Stops when no link changes, and not before.  No links: an empty table.
     """
     spark = edges.sparkSession
 
@@ -101,7 +101,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     path, now, mark = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     )
-    for _ in range(rounds if mark[0] else 0):
+    while mark[0]:
         new_at, new, new_mark = written(star(star(now, True), False))
         remove(spark, path)
         path, now = new_at, new

@@ -159,6 +159,15 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_have_no_cap_on_rounds(spark, monkeypatch):
+    from framelathe.llm import _common
+
+    monkeypatch.setattr(_common, "range", lambda n: [0] * min(n, 1), raising=False)  # any loop over a number of rounds ends after one
+    order = random.Random(4).sample(range(200), 200)
+    got = components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")).collect()
+    assert len(got) == 200 and {r.component for r in got} == {0}
+
+
 # --- substring dedup
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these six ASCII blanks.
@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="framelathe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -30,9 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all tables that operators of this process wrote to the shared folder; their results must be stored by now."""
-    for path in list(_written):
+def tables() -> set[str]:
+    """Paths of the tables that operators of this process wrote to the shared folder and that are still there."""
+    return set(_written)
+
+
+def sweep(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Delete those tables but the ones to keep; results that read them must be stored by now."""
+    for path in tables() - keep:
         remove(spark, path)
 
 
@@ -43,11 +50,18 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends, lost executors cost nothing."""
+    """Write a table to the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    Raises if the driver reads other than was written, as it would from a folder that isn't shared.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    if (found := back.count()) != (wrote := seen.get.get("n", 0)):
+        raise RuntimeError(f"{path}: {wrote} rows written, {found} read back; is the folder shared?")
+    return back
 
 
 def hex64(col: Column) -> Column:

@@ -77,7 +77,7 @@ def brute_groups(pairs, ids):
 
 
 def test_simhash_query_form(spark, odd, odd_rows, clashing, no_docs):
-    how = dict(shingle=3, tau=2, lanes=1, ext_tau=None, ratio=None, distinct=False)
+    how = dict(shingle=3, tau=2, distinct=False)
     got = [(r.doc_id, r.fp & 0xFFFFFFFFFFFFFFFF, r.component_id) for r in simhash_dedup.simhash_groups(odd, **how).collect()]
     fps = {}
     for r in odd_rows:
@@ -145,6 +145,69 @@ def test_thresholds_sum_and_minimise():
         assert math.isclose(cost(row, own), min(cost(row, o) for o in options), rel_tol=1e-9)
 
 
+def brute_lanes(text, lanes=8):
+    h = np.unique(simhash_dedup.shingle_hashes(text.encode(), 5))
+    return [simhash_dedup.majority(simhash_dedup.lane(h, k)) for k in range(lanes)], len(h)
+
+
+def brute_similar(a, b):
+    """A cosine of 0.8 as 512 bits estimate it: 0.2048 of them differ, and one standard deviation more; three of the first 64."""
+    d = [bin(x ^ y).count("1") for x, y in zip(a[0], b[0])]
+    return d[0] <= 22 and sum(d) <= 114 and min(a[1], b[1]) >= 0.64 * max(a[1], b[1])
+
+
+def edited(words_, share, rng):
+    return " ".join(f"{w}x" if rng.random() < share else w for w in words_)
+
+
+def test_near_copies_meet_in_partitions(spark):
+    """Every partition selects, and nearly all links that comparing every pair finds are found."""
+    from tests.llm.conftest import words
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):
+        base = words(rng.randint(60, 300), 1000 + i)
+        rows += [" ".join(base)] + [edited(base, s, rng) for s in (0.01, 0.02, 0.03, 0.04)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash_dedup.simhash_groups(df).collect()}
+    fp = [brute_lanes(t) for _, t in rows]
+    true = [(a, b) for a in range(len(fp)) for b in range(a) if brute_similar(fp[a], fp[b])]
+    assert sum(got[a] == got[b] for a, b in true) >= 0.99 * len(true) and len(true) > 600
+    want = brute_groups(true, range(len(fp)))
+    assert all(want[i] == want[c] for i, c in got.items())  # no link that isn't one
+    for n in (10, 1000, 10**5, 10**7, 10**9):
+        parts, width, wide = simhash_dedup.reach(n, 8, 0.2048, 0.99)
+        assert width >= 8 and parts > 1 and wide <= parts and (n < 10**7 or width > 8)
+
+
+def test_unlike_texts_of_one_doc_id_stay(spark):
+    from tests.llm.conftest import words
+
+    a, b, c = (" ".join(words(80, k)) for k in (501, 502, 503))
+    rows = [(8, a), (8, b), (5, a), (8, b), (9, b), (9, c), (None, a)]
+    got = sorted(((r.doc_id, r.text) for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, a), (8, b), (9, c), (None, a)], key=str)
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(8, a), (8, near), (8, a)]
+    assert simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
+
+
+@pytest.mark.parametrize("cell", [24_000, 300])
+def test_long_runs(spark, monkeypatch, cell):
+    """Runs beyond LONG_RUN: copies that one entry joins, others that it doesn't, and probes."""
+    monkeypatch.setattr(simhash_dedup, "CELL_ROWS", cell)
+    rng = np.random.default_rng(3)
+    fps = {int(x) & ~0xFFFFFFFF for x in rng.integers(0, 2**62, 6)}
+    fps = sorted({f | int(x) for f in fps for x in rng.integers(0, 2**9, 260)} | {int(x) for x in rng.integers(0, 2**62, 300)})
+    nodes = spark.createDataFrame([(i, f, 0, b"") for i, f in enumerate(fps)], "node long, fp long, n_shingles long, ext binary")
+    found = [(r.a, r.b) for r in simhash_dedup.links(nodes, 2, plan=(2, 12)).collect()]
+    true = [(a, b) for a in range(len(fps)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 2]
+    assert all(bin(fps[a] ^ fps[b]).count("1") <= 2 for a, b in found)
+    assert brute_groups(found, range(len(fps))) == brute_groups(true, range(len(fps)))
+
+
 def test_keep_one(spark, odd):
     kept = simhash_dedup.keep_one(odd)
     ids = Counter(r.doc_id for r in kept.collect())
@@ -435,14 +498,10 @@ def test_pipeline_equals_brute_force(spark, odd_rows, tmp_path, small):
         lost = len(w) - len(WORD.findall(clean))
         if len(w) >= 10 and len(rep) * 5 <= len(w) and lost * 2 <= len(w):
             kept[i] = (clean, s)
-    fp = {}
-    for i, (t, _) in kept.items():
-        h = np.unique(simhash_dedup.shingle_hashes(t.encode(), 5))
-        fp[i] = ([simhash_dedup.majority(simhash_dedup.lane(h, k)) for k in range(4)], len(h))
+    fp = {i: brute_lanes(t) for i, (t, _) in kept.items()}
 
     def near(a, b):
-        d = [bin(x ^ y).count("1") for x, y in zip(fp[a][0], fp[b][0])]
-        return d[0] <= 12 and sum(d) <= 44 and min(fp[a][1], fp[b][1]) >= 0.8 * max(fp[a][1], fp[b][1])
+        return brute_similar(fp[a], fp[b])
 
     comp = brute_groups([(a, b) for a in fp for b in fp if a < b and near(a, b)], fp)
     kept = {i: v for i, v in kept.items() if comp[i] == i}

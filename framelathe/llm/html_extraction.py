@@ -18,11 +18,17 @@ from pyspark.sql import functions as F
 
 from ._common import balanced
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|title|noscript|template|svg|iframe|textarea|select|button|object|math|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: The rest of a tag; a ``>`` in quotes doesn't end it.  Nothing is tried twice.
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: What they hold is no text, up to their end tag or the end of the page.
+RAW = {
+    t: re.compile(rf"</{t}\s*+>", re.I)
+    for t in "script style title noscript template svg iframe textarea select button object math canvas".split()
+}
+#: Tags of a page whose quotes never close; after so many quotes are no longer looked at, so a page takes linear time.
+UNCLOSED = 8
+LONG_NUMBER = re.compile(r"&#[0-9]{8,}+;?")
 HINTED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -138,60 +144,127 @@ def place_of(tag: str, attrs: str, above: float, fixed: bool) -> tuple[float, bo
     return above, False
 
 
+def unescape(text: str) -> str:
+    """Character references decoded; numbers beyond any character are U+FFFD, however long they are."""
+    return entities.unescape(LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
+def tags(page: str):
+    """``start, end, closing, tag, attributes`` of each tag in order, other markup with an empty tag; one pass.
+
+    Comments end at ``-->``, raw elements with their end tag, both else with the page.  A tag whose quotes never close
+    ends at its first ``>``; a ``<`` without any ``>`` after it is text.
+    """
+    at, last, unclosed = 0, page.rfind(">"), 0
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            return
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, "", ""
+            at = end
+            continue
+        if at > last:
+            at = page.find("<!--", at)  # only a comment needs no end
+            if at < 0:
+                return
+            continue
+        name = NAME.match(page, at)
+        if name:
+            rest = REST.match(page, name.end()) if unclosed < UNCLOSED else None
+            if rest:
+                attrs, end = rest[1], rest.end()
+            else:
+                unclosed += 1
+                stop = page.index(">", at)
+                attrs, end = page[name.end() : stop], stop + 1
+            tag = name[2].lower()
+            if not name[1] and tag in RAW:
+                close = RAW[tag].search(page, end)
+                end = close.end() if close else len(page)
+                yield at, end, False, "", ""
+            else:
+                yield at, end, bool(name[1]), tag, attrs
+            at = end
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            end = page.index(">", at) + 1
+            yield at, end, False, "", ""
+            at = end
+        else:
+            at += 1
+
+
+class Stack:
+    """Open elements.  Where each kind is open is known, so that no end tag looks through all of them."""
+
+    def __init__(self):
+        self.held: list[tuple[str, float, bool, bool, bool]] = []  # tag, place, fixed, in a link, in a heading
+        self.where: dict[str, list[int]] = {}
+        self.firm: list[int] = []  # those that don't close themselves
+
+    def top(self) -> tuple[str, float, bool, bool, bool]:
+        return self.held[-1] if self.held else ("", 0, False, False, False)
+
+    def push(self, tag: str, *state) -> None:
+        self.where.setdefault(tag, []).append(len(self.held))
+        if tag not in LOOSE:
+            self.firm.append(len(self.held))
+        self.held.append((tag, *state))
+
+    def cut(self, depth: int) -> None:
+        while len(self.held) > depth:
+            tag = self.held.pop()[0]
+            self.where[tag].pop()
+            if tag not in LOOSE:
+                self.firm.pop()
+
+    def close(self, kinds, within: bool) -> None:
+        """Close the innermost element of these kinds; within: unless it is around one that doesn't close itself."""
+        depth = max((self.where[t][-1] for t in kinds if self.where.get(t)), default=-1)
+        if depth >= 0 and not (within and self.firm and self.firm[-1] > depth):
+            self.cut(depth)
+
+
 def blocks(page: str) -> list[tuple[str, int, int, float, int]]:
     """Flat blocks: text, words, words in links, place, heading."""
     out: list[tuple[str, int, int, float, int]] = []
-    stack: list[tuple[str, float, bool, bool, bool]] = []  # tag, place, fixed, in a link, in a heading
+    stack = Stack()
     place, fixed, link, heading = 0, False, False, False
     parts: list[tuple[str, bool]] = []
     at = 0
 
     def flush() -> None:
         if parts:
-            text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
+            text = " ".join(unescape("".join(p for p, _ in parts)).split())
             if text:
-                inside = sum(len(entities.unescape(p).split()) for p, a in parts if a)
+                inside = sum(len(unescape(p).split()) for p, a in parts if a)
                 words = text.count(" ") + 1
                 out.append((text, words, min(inside, words), place, int(heading)))
             parts.clear()
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append((page[at : m.start()], link))
-        at = m.end()
-        tag = m["tag"]
+    for start, end, closing, tag, attrs in tags(page):
+        if start > at:
+            parts.append((page[at:start], link))
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag in BLOCK:
             flush()
         if tag in VOID:
             continue
-        if m["close"]:
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != tag:
-                if tag in LOOSE and stack[depth][0] not in LOOSE:
-                    depth = -1  # a stray end tag doesn't close what is around it
-                    break
-                depth -= 1
-            if depth >= 0:
-                del stack[depth:]
+        if closing:
+            stack.close((tag,), tag in LOOSE)  # a stray end tag doesn't close what is around it
         else:
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag in BLOCK and stack and stack[-1][0] == "p":
-                same = {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag, "p"}
-                k = len(stack) - 1
-                while k >= 0 and stack[k][0] in LOOSE:
-                    if stack[k][0] in same:
-                        del stack[k:]
-                        break
-                    k -= 1
-            above, hard = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-            if tag in BLOCK or tag in MAIN_TAGS or m["attrs"]:
-                above, hard = place_of(tag, m["attrs"], above, hard)
-            if not m["attrs"].endswith("/") or tag in BLOCK:
-                last = stack[-1] if stack else ("", 0, False, False, False)
-                stack.append((tag, above, hard, last[3] or tag == "a", last[4] or tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
-        _, place, fixed, link, heading = stack[-1] if stack else ("", 0, False, False, False)
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag in BLOCK and stack.top()[0] == "p":
+                stack.close({"dt", "dd", "p"} if tag in ("dt", "dd") else {"td", "th", "p"} if tag in ("td", "th") else {tag, "p"}, True)
+            _, above, hard, linked, headed = stack.top()
+            if tag in BLOCK or tag in MAIN_TAGS or attrs:
+                above, hard = place_of(tag, attrs, above, hard)
+            if not attrs.endswith("/") or tag in BLOCK:
+                stack.push(tag, above, hard, linked or tag == "a", headed or tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+        _, place, fixed, link, heading = stack.top()
     if at < len(page):
         parts.append((page[at:], link))
     flush()
@@ -217,7 +290,9 @@ def extract(pages: DataFrame, labelled=LABELLED + OUTSIDE) -> DataFrame:
 
     Null and empty html give an empty text.  Character references are decoded,
     white space inside a block is one space, and kept blocks are joined in page
-    order by one space.  Rows stand alone and repeat as they do in ``pages``.
+    order by one space.  Rows stand alone and repeat as they do in ``pages``;
+    other columns are not looked at.  Very long pages and unclosed markup take
+    time in proportion to their length.  Empty table: empty.
     """
     tree = train(labelled)
 

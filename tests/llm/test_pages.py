@@ -178,6 +178,27 @@ def test_link_lists_in_the_article_go():
         assert "Two." in say(wrap.format(f"{menu}<p>Two.</p>{menu}<p>{long}</p>"))
 
 
+@pytest.mark.parametrize("unit", ["<script ", "<div ", '<p title="', "<!--", "<a x'>'", "</x ", "<a '", "<b>", "<div>", "</section>", "<li>", "<i><div><b><b></i>", "&#9", "<!", 'class="', "</", "<p><td>"])
+def test_odd_markup_takes_linear_time(unit):
+    import time
+
+    tree = html_extraction.train()
+    for tail in ("", ">", "'", '">', "</div>"):
+        page = unit * (500_000 // len(unit)) + tail
+        began = time.process_time()
+        html_extraction.main_text(page, tree)
+        assert time.process_time() - began < 8, (unit, tail)  # quadratic forms took minutes
+
+
+def test_unclosed_quotes_and_numbers():
+    tree = html_extraction.train()
+    say = lambda h: html_extraction.main_text(h, tree)
+    assert say("<article><p title=\"x>one</p><p>two</p></article>") == "one two"
+    assert say("<article>" + "<p title='>x</p>" * 21 + "</article>").count("x") >= 10
+    assert say("<article><p>&#99999999999; &#" + "9" * 6000 + "; &#65;</p></article>") == "\ufffd \ufffd A"
+    assert say("<article>a < b <c") == "a < b <c" and say("<article>a<!-- b") == "a" and say("<article>a<script>b</SCRIPT >c") == "a c".replace(" ", "")
+
+
 def test_extract_rows(spark, pages, no_pages):
     got = html_extraction.extract(pages.withColumn("text", F.lit("clash"))).collect()
     assert len(got) == len(ROWS) and all(r.n_chars == len(r.text) for r in got) and {r.page_id: r.text for r in got}[4] == ""

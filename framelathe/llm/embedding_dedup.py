@@ -3,10 +3,11 @@
 Equal vectors of one label are one node.  Each label's nodes are dealt into
 shards of bounded size with one graph each; every node queries every shard of
 its label.  Searches advance in batches of numpy arrays.  A beam that is full of
-links is widened; a block of queries is audited against brute force on a fixed
-sample, and repeated with twice the beam until the recall is reached, at last by
-scanning the shard.  Cosines are verified in double precision.  A block reports
-link counts and a spanning forest of its links, never all pairs.
+links is widened.  Before a block of queries searches a shard, some of them and
+as many vectors made to link with rows of the shard are audited against brute
+force, and the beam is doubled until they reach the recall, at last by scanning
+the shard.  Cosines are verified in double precision.  A block reports link
+counts and a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 
 from ._common import components, cut
 
-#: Nodes in a shard at most, about, and queries that ask a shard together.
+#: Nodes in a shard, about; a label of many nodes has larger shards, up to eight times this, rather than more than 64.
 SHARD = 8192
-BLOCK = 1024
-DEGREE = 16
-BUILD_BEAM = 64
-QUERY_BEAM = 64
+#: Queries that ask a shard together, about: the shard's graph, of some 600 bytes a node, travels once for so many.
+BLOCK = 8192
+DEGREE = 12
+BUILD_BEAM = 24
+QUERY_BEAM = 32
 #: Queries that advance together.
 BATCH = 256
 AUDITED = 48
@@ -122,9 +124,9 @@ class Graph:
             if (~room).any():
                 self.links[k][part[~room]] = self.choose(part[~room], both[~room], width)
 
-    def search(self, q: np.ndarray, k: int, begin: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, k: int, begin: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of layer k: ids (-1: none) and similarities, best first, for each query."""
-        n, rows = len(self.x), np.arange(len(q))
+        n, rows, wide = len(self.x), np.arange(len(q)), max(4, beam // 8)  # opened in one step
         seen = np.zeros((len(q), n + 1), bool)
         seen[:, n] = True
         begin = np.where(begin >= 0, begin, n)
@@ -175,7 +177,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def near(graph: Graph, q: np.ndarray, least: float, beam: int, take) -> None:
-    """Calls ``take(queries, rows)`` with pairs of cosine at least ``least``, as far as beams find them and
+    """Calls ``take(queries, rows, cosines)`` with pairs of cosine at least ``least``, as far as beams find them and
     some queries at a time; a beam full of links widens."""
     n = len(graph.x)
     rows = np.arange(len(q))
@@ -183,16 +185,20 @@ def near(graph: Graph, q: np.ndarray, least: float, beam: int, take) -> None:
         again = []
         for i in range(0, len(rows), BATCH):
             part = rows[i : i + BATCH]
-            if beam * 4 >= n:  # scan
-                a, b = np.nonzero(q[part] @ graph.x.T >= least)
-                take(part[a], b)
-                continue
-            ids, sim = graph.nearest(q[part], beam)
-            full = (ids[:, -1] >= 0) & (sim[:, -1] >= least)
+            ids, sim = graph.nearest(q[part], min(beam, n))
+            full = (ids[:, -1] >= 0) & (sim[:, -1] >= least) & (beam < n)
             again.append(part[full])
-            a, c = np.nonzero((sim >= least) & ~full[:, None])
-            take(part[a], ids[a, c])
-        rows, beam = np.concatenate(again) if again else rows[:0], beam * 4
+            a, c = np.nonzero((ids >= 0) & (sim >= least) & ~full[:, None])
+            take(part[a], ids[a, c], sim[a, c])
+        rows, beam = np.concatenate(again), beam * 4
+
+
+def scan(graph: Graph, q: np.ndarray, least: float, take) -> None:
+    """The same pairs by comparing all."""
+    for i in range(0, len(q), BATCH):
+        sim = q[i : i + BATCH] @ graph.x.T
+        a, b = np.nonzero(sim >= least)
+        take(a + i, b, sim[a, b])
 
 
 class Links:
@@ -200,15 +206,14 @@ class Links:
 
     def __init__(self, node: np.ndarray, ids: np.ndarray, mult: np.ndarray):
         self.node, self.ids, self.mult = node, ids, mult
-        self.hits, self.count = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        self.count = np.zeros(len(node), np.int64)
         self.names, at = np.unique(np.concatenate([node, ids]), return_inverse=True)
         self.of_query, self.of_row = at[: len(node)], at[len(node) :]
         self.root = np.arange(len(self.names))
         self.a: list[int] = []
         self.b: list[int] = []
 
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.hits += np.bincount(a, minlength=len(self.node))
+    def __call__(self, a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> None:
         other = self.node[a] != self.ids[b]
         a, b = a[other], b[other]
         self.count += np.bincount(a, weights=self.mult[b], minlength=len(self.node)).astype(np.int64)
@@ -228,15 +233,39 @@ class Links:
                     self.b.append(int(self.names[y[k]]))
 
 
-def audited(graph: Graph, links, q: np.ndarray, least: float, beam: int = QUERY_BEAM, recall: float = RECALL) -> Links:
-    """``links()`` filled by ``near``, with beams widened until evenly spaced queries reach the recall against brute force."""
+def planted(graph: Graph, least: float, many: int = AUDITED) -> np.ndarray:
+    """Unit vectors, each at a cosine from ``least`` to halfway to one of a row of the graph."""
+    rng = np.random.default_rng(len(graph.x))
+    row = graph.x[rng.integers(0, len(graph.x), many)]
+    if row.shape[1] == 1:
+        return row
+    off = rng.normal(size=row.shape)
+    off -= (off * row).sum(1, keepdims=True) * row
+    off /= np.sqrt((off * off).sum(1, keepdims=True)) + 1e-300
+    c = least + (1 - least) * rng.uniform(1e-6, 0.5, (many, 1))
+    return c * row + np.sqrt(1 - c * c) * off
+
+
+def audited(graph: Graph, q: np.ndarray, least: float, beam: int = QUERY_BEAM, recall: float = RECALL) -> tuple[int, int, int]:
+    """The beam with which planted vectors and evenly spaced queries reach the recall against brute force, 0 for a scan,
+    and how many links they have and found.  A query's link with itself doesn't count, so neither can hide the other."""
     sample = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(int))
-    true = (q[sample] @ graph.x.T >= least).sum()
+    asks = np.concatenate([planted(graph, least), q[sample]])
+    found = np.zeros(2, np.int64)
+
+    def take(a, b, cosine):
+        own = a[cosine < 1 - 1e-12] < AUDITED
+        found[:] += own.sum(), (~own).sum()
+
+    scan(graph, asks, least, take)
+    true, beam = found.copy(), max(1, beam)
     while True:
-        got = links()
-        near(graph, q, least, beam, got)
-        if got.hits[sample].sum() >= recall * true or beam * 4 >= len(graph.x):
-            return got
+        found[:] = 0
+        near(graph, asks, least, beam, take)
+        if (found >= recall * true).all():
+            return beam, int(true.sum()), int(found.sum())
+        if beam >= len(graph.x):
+            return 0, int(true.sum()), int(true.sum())
         beam *= 2
 
 
@@ -248,27 +277,29 @@ def table_of(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return node[order], m[order], unit(v[order])
 
 
-def embedding_dedup(vectors: DataFrame, *, least: float = 0.93, shard: int = SHARD, beam: int = QUERY_BEAM, recall: float = RECALL) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, label)``.
-
-    Vectors link at a cosine of ``least`` or more if their labels are equal and
-    not null.  Vectors that are null, empty, zero, or hold null or non-finite
-    components link with nothing, nor do rows with a null vec_id or label or
-    vectors of unlike lengths.  ``n_links`` counts other rows linked directly;
-    ``component_id`` is the smallest vec_id reachable.
-    """
+def usable_rows(vectors: DataFrame) -> DataFrame:
+    """``vec_id, vec, label, ok``: vectors in double precision, and whether they can link."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
     inf = F.lit(float("inf"))
     usable = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull()
         & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == inf)) & F.exists("vec", lambda v: v != 0)
     )
-    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    good = rows.filter("ok")
-    nodes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("vec"))
+    return rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
+
+
+def search(rows: DataFrame, *, least: float = 0.93, shard: int = SHARD, block: int = BLOCK, beam: int = QUERY_BEAM, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``label, vec, node, m, dim``, and what the searches found, ``kind, a, b, n``.
+
+    Kind ``count``: node a has n links with rows in one shard; ``link``: a and b
+    link; ``audit``: audits of a block had a true links, found b of them, with
+    beam n (0: by a scan).
+    """
+    nodes = rows.filter("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("vec"))
     nodes = cut(nodes, "vectors")
-    ceil = lambda n: F.ceil(F.count(F.lit(1)) / n).cast("int")
-    sizes = nodes.groupBy("label", "dim").agg(ceil(shard).alias("shards"), ceil(min(shard, BLOCK)).alias("blocks"))
+    many = F.count(F.lit(1))
+    held = F.greatest(F.lit(shard), F.least(F.lit(8 * shard), F.ceil(many / 64)))
+    sizes = nodes.groupBy("label", "dim").agg(F.ceil(many / held).cast("int").alias("shards"), F.ceil(many / F.lit(block)).cast("int").alias("blocks"))
     dealt = nodes.join(sizes, ["label", "dim"]).withColumns({
         "shard": F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"), "block": F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"),
     })
@@ -287,26 +318,45 @@ def embedding_dedup(vectors: DataFrame, *, least: float = 0.93, shard: int = SHA
     asked = dealt.select("label", "dim", "block", each("shards").alias("shard"), "node", "m", "vec")
     index = graphs.select("label", "dim", "shard", each("blocks").alias("block"), "graph")
     keys = ["label", "dim", "shard", "block"]
+    schema = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def query(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+            return schema.empty_table()
         ids, mult, state = pickle.loads(left.column("graph")[0].as_py())
         graph = Graph.__new__(Graph)
         vars(graph).update(state)
         node, _, x = table_of(right)
-        got = audited(graph, lambda: Links(node, ids, mult), x, least, beam, recall)
-        count, fa, fb = got.count, np.array(got.a, np.int64), np.array(got.b, np.int64)
-        some = count > 0
-        return pa.table({
-            "a": pa.array(np.concatenate([node[some], fa])),
-            "b": pa.array(np.concatenate([np.zeros(some.sum(), np.int64), fb]), mask=np.concatenate([np.ones(some.sum(), bool), np.zeros(len(fb), bool)])),
-            "n": pa.array(np.concatenate([count[some], np.zeros(len(fa), np.int64)])),
-        })
-
-    found = cut(index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(query, "a long, b long, n long"), "links")
-    comp = components(found.filter("b is not null").select("a", "b"))
-    counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+        used, true, hit = audited(graph, x, least, beam, recall)
+        got = Links(node, ids, mult)
+        if used:
+            near(graph, x, least, used, got)
+        else:
+            scan(graph, x, least, got)
+        some = np.flatnonzero(got.count)
+        a = np.concatenate([node[some], np.array(got.a, np.int64), [true]])
+        b = np.concatenate([np.zeros(len(some), np.int64), np.array(got.b, np.int64), [hit]])
+        n = np.concatenate([got.count[some], np.zeros(len(got.a), np.int64), [used]])
+        return pa.table([pa.array(["count"] * len(some) + ["link"] * len(got.a) + ["audit"]), pa.array(a), pa.array(b), pa.array(n)], schema=schema)
+
+    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(query, "kind string, a long, b long, n long")
+    return nodes, cut(found, "links")
+
+
+def embedding_dedup(vectors: DataFrame, **how) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, label)``.
+
+    Vectors link at a cosine of ``least`` or more if their labels are equal and
+    not null.  Vectors that are null, empty, zero, or hold null or non-finite
+    components link with nothing, nor do rows with a null vec_id or label or
+    vectors of unlike lengths.  ``n_links`` counts other rows linked directly,
+    repeated rows too; ``component_id`` is the smallest vec_id reachable.  Other
+    columns are not looked at.  Empty table: empty.  ``how``: see ``search``.
+    """
+    rows = usable_rows(vectors)
+    nodes, found = search(rows, **how)
+    comp = components(found.filter("kind = 'link'").select("a", "b"))
+    counts = found.filter("kind = 'count'").groupBy("a").agg(F.sum("n").alias("n"))
     of = nodes.join(comp.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left")
     of = of.join(counts, F.col("node") == F.col("a"), "left").filter("m > 1 or component is not null")
     of = of.select(

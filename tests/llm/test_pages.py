@@ -362,7 +362,34 @@ def test_audit_widens_beams():
     rng = np.random.default_rng(1)
     x = embedding_dedup.unit(rng.normal(size=(1500, 24)))
     g = embedding_dedup.Graph(np.arange(1500), x, degree=2, beam=2)
-    make = lambda: embedding_dedup.Links(np.arange(1500), np.arange(1500), np.ones(1500))
-    got = embedding_dedup.audited(g, make, x, 0.5, beam=2, recall=1.0)
-    sample = np.unique(np.linspace(0, 1499, embedding_dedup.AUDITED).astype(int))
-    assert (got.hits[sample] == (x[sample] @ x.T >= 0.5).sum(1)).all()
+    q = embedding_dedup.unit(rng.normal(size=(64, 24)))  # link with nothing: planted vectors are audited all the same
+    for asks in (x, q):
+        beam, true, found = embedding_dedup.audited(g, asks, 0.5, beam=2, recall=1.0)
+        assert true >= embedding_dedup.AUDITED and found == true and (beam == 0 or beam > 2)
+        got = embedding_dedup.Links(np.arange(len(asks)) + 5000 * (asks is q), np.arange(1500), np.ones(1500))
+        embedding_dedup.near(g, asks, 0.5, beam, got) if beam else embedding_dedup.scan(g, asks, 0.5, got)
+        sample = np.unique(np.linspace(0, len(asks) - 1, embedding_dedup.AUDITED).astype(int))
+        assert (got.count[sample] == (asks[sample] @ x.T >= 0.5).sum(1) - (asks is x)).all()
+
+
+def test_planted_vectors_link():
+    x = embedding_dedup.unit(np.random.default_rng(5).normal(size=(300, 8)))
+    g = embedding_dedup.Graph(np.arange(300), x)
+    y = embedding_dedup.planted(g, 0.93)
+    assert np.allclose((y * y).sum(1), 1) and ((y @ x.T).max(1) >= 0.93).all() and ((y @ x.T).max(1) < 0.9999).all()
+
+
+def test_links_come_from_graph_searches(spark):
+    """Beams stay below their shards, every block is audited, and shards of one label find links in each other."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(900, 32))
+    rows = [(int(i), [float(v) for v in b + rng.normal(size=32) * 0.15], 1) for i, b in enumerate(np.concatenate([base, base[:500], base[:100]]))]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    for shard, block in ((300, 200), (8192, 8192)):
+        nodes, found = embedding_dedup.search(embedding_dedup.usable_rows(df), shard=shard, block=block, beam=8)
+        audits = found.filter("kind = 'audit'").collect()
+        shards, blocks = -(-1500 // shard), -(-1500 // block)
+        assert len(audits) == shards * blocks
+        assert all(r.a >= embedding_dedup.AUDITED and r.b >= 0.99 * r.a and 0 < r.n <= 64 for r in audits)
+        x = embedding_dedup.unit(np.array([np.float32(r[1]) for r in rows]))
+        assert found.filter("kind = 'count'").agg(F.sum("n")).first()[0] >= 0.99 * ((x @ x.T >= 0.93).sum() - 1500)

@@ -264,6 +264,8 @@ def test_substring_equals_brute_force(spark, odd, odd_rows, no_docs, monkeypatch
     monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 900)
     assert cut_rows(odd) == brute_cut(odd_rows)
     assert cut_rows(odd, window=5, block=3) == brute_cut(odd_rows, 5)
+    monkeypatch.setattr(substring_dedup, "FAN", 4)  # so many levels
+    assert cut_rows(odd) == brute_cut(odd_rows)
     assert substring_dedup.substring_dedup(no_docs).count() == 0
     with pytest.raises(ValueError):
         substring_dedup.substring_dedup(odd, window=12)
@@ -278,6 +280,40 @@ def test_substring_random_texts(spark):
         assert cut_rows(df) == brute_cut(rows)
 
 
+def test_messages_grow_with_the_data(spark, monkeypatch):
+    """Each level sends as many messages as there are senders times FAN at most, and levels merge as many senders."""
+    from tests.llm.conftest import words
+
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 100)
+    monkeypatch.setattr(substring_dedup, "FAN", 8)
+    sent = {}
+    for n in (100, 400, 1600):
+        rows = [(i, " ".join(words(40, i))) for i in range(n)]
+        dealt, _, key, size = substring_dedup.dealt_out(spark.createDataFrame(rows, "doc_id long, text string"))
+        x = substring_dedup.Exchange(substring_dedup.Blocks, size, substring_dedup.hash_bits(size))
+        trace = []
+        answers = x.answer(substring_dedup.ask_blocks(dealt, key, x, 7, 13), trace=trace)
+        counts = [t.count() for t in trace]
+        assert answers.count() == counts[0] and x.fan**x.levels * 100 >= size and x.levels == len(counts)
+        sent[n] = sum(counts)
+    assert sent[1600] < 8 * sent[400] and sent[1600] / 1600 < 2 * sent[100] / 100 * 2
+
+
+def test_windows_are_told_apart_by_96_bits():
+    u = np.array([7, 7, 7, 9], np.uint64)
+    more, low = np.array([1, 2, 1, 1], np.uint64), np.array([5, -4, 3, 2**62], np.int64)
+    order = np.lexsort((more, u))
+    part = (u[order], more[order], low[order])
+    row = substring_dedup.Windows.packed(part, 0, 8)
+    back = substring_dedup.Windows.unpacked(*row, 0, 8)
+    assert all((a == b).all() for a, b in zip(part, back))
+    whole, inv = substring_dedup.Windows.union([part, (u[:1], more[:1], np.array([-9]))])
+    assert whole[0].tolist() == [7, 7, 9] and whole[1].tolist() == [1, 2, 1] and whole[2].tolist() == [-9, -4, 2**62]
+    told = substring_dedup.Windows.told(np.zeros(3, bool), whole, inv, [part, (u[:1], more[:1], np.array([-9]))])
+    assert told.tolist() == [True, True, False, False, False]
+
+
 def test_substring_keeps_columns_and_untouched_texts(spark, odd, clashing):
     rows = {r.doc_id: r for r in substring_dedup.substring_dedup(clashing).collect()}
     assert rows[1].copy == "clash" and rows[1].n_removed == 0 and rows[4].text is None and rows[6].text == " \t\n\x0b\x0c\r "

@@ -64,8 +64,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: fl
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = 0.5, budget: float | None = None, seed: str = SEED) -> DataFrame:
     """The columns of ``docs`` with ``copy`` (from 1) and ``shuffle_key``, each document as often as drawn.
 
-    Rows of one doc_id draw alike; a null doc_id draws as the text ``null``.
-    Rows land in hash partitions of ``shuffle_key`` and are sorted by it there.
+    Rows of one doc_id draw alike; rows with a null doc_id draw by a hash of their
+    text, so however many there are they land apart.  Empty table: empty.  Rows land in hash partitions of ``shuffle_key`` and are sorted by it there.
     Columns of ``docs`` named ``copy`` or ``shuffle_key`` are replaced.
     """
     by = rates(docs, weights, alpha=alpha, budget=budget)
@@ -77,7 +77,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: floa
     found = by.take(BROADCAST_SOURCES + 1)
     if len(found) <= BROADCAST_SOURCES:  # bounded: so many rows of some dozens to hundreds of numbers
         by = F.broadcast(spark.createDataFrame(found, by.schema))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    name = F.coalesce(F.col("doc_id").cast("string"), unnamed)
     draws = F.transform(
         F.sequence(F.lit(1), F.col("_parts")),
         lambda k: F.size(F.filter("_cdf", lambda c: c < uniform(F.lit(seed), name, k.cast("string")))),
@@ -97,6 +98,7 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
+_NAME = "coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))"
 ORACLE = f"""
 WITH RECURSIVE s AS (
   SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS size FROM documents GROUP BY source
@@ -107,12 +109,12 @@ WITH RECURSIVE s AS (
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), cum + p * rate / (k + 1) FROM c WHERE k < rate + 12 * sqrt(rate) + 30
 ), d AS (
-  SELECT *, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':1'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+  SELECT *, (('0x' || substr(md5('{SEED}:' || {_NAME} || ':1'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
     row_number() OVER () AS row FROM documents
 ), n AS (
   SELECT row, count(*) AS n FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND c.cum < d.u GROUP BY row
 )
 SELECT doc_id, text, lang, source, n_chars, copy,
-  md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy || ':order') AS shuffle_key
+  md5('{SEED}:' || {_NAME} || ':' || copy || ':order') AS shuffle_key
 FROM (SELECT d.*, unnest(range(1, n + 1)) AS copy FROM d JOIN n USING (row))
 """

@@ -5,11 +5,14 @@ sample of labelled rows) judge each text or abstain.  A generative label model
 estimates every voter's accuracy and the correlations of voters given the class
 by expectation maximisation, correlated voters counting less; its posteriors are
 the soft labels of a linear classifier over words and stems, which scores texts.
+Labels of the sample have no vote: they choose the mined words, and where the
+classifier's scores are cut.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -108,13 +111,13 @@ def mine(sample: Sample, toxic: np.ndarray, least: int = 4) -> list[tuple[str, f
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors, per-voter tables P(vote | class) and voter correlations given the class.
 
-    Classes start from the votes' majority, the last voter (the annotator) deciding ties.  A voter's log likelihood is divided
+    Classes start from the votes' majority.  A voter's log likelihood is divided
     by one plus its summed positive correlations with the others, so that copies
     of one voter count about as one.
     """
     n, m = votes.shape
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    said = (votes == 1).sum(1) - (votes == 0).sum(1) + np.where(votes[:, -1] == 1, 0.5, 0)
+    said = (votes == 1).sum(1) - (votes == 0).sum(1)
     post = np.where(said > 0, 0.9, 0.1 * prior)
     table, corr = np.zeros((2, m, 3)), np.eye(m)
     for _ in range(rounds):
@@ -159,40 +162,62 @@ def fit_linear(sample: Sample, soft: np.ndarray, k: int = FEATURES, rounds: int
     return {x: float(v) for x, v in zip(sample.names[found], w) if abs(v) > 1e-3}, float(b)
 
 
+def fitting_cut(z: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut of the scores with the fewest wrong rows, nearest to 0 of several; 0 where all rows are alike."""
+    if toxic.all() or not toxic.any():
+        return 0.0
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], toxic[order]
+    wrong = (~y).sum() + np.concatenate([[0], np.cumsum(np.where(y, 1, -1))])  # with the first k below the cut
+    cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+    split = np.concatenate([[True], z[1:] > z[:-1], [True]])
+    wrong, cuts = wrong[split], cuts[split]
+    best = cuts[wrong == wrong.min()]
+    return float(best[np.argmin(np.abs(best))])
+
+
 def held_out(doc_id) -> Column:
     """Whether a row's label is never learnt from."""
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
-    """Texts and labels of about ``rows`` labelled rows and ``size`` bytes at most, chosen by a hash of their doc_id."""
+    """Texts and labels of about ``rows`` labelled rows and ``size`` bytes at most, chosen by a hash of their doc_id.
+
+    A doc_id with several labels is toxic if one says so.  Raises if there are labelled texts and none is chosen.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
-    million = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = min(1.0, rows / max(1, known.count()))
-    known = known.filter(million < int(share * 1_000_000))
+    chosen = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)  # 63 bits
+    below = lambda part: chosen <= F.lit(min(2**63 - 1, int(part * 2**63)))
+    known = known.filter(below(share))
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(known), F.col("_doc") == F.col("doc_id")).select("_doc", "text", "_toxic", million.alias("_m"))  # bounded by rows
-    held = found.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    if held > size:
-        found = found.filter(F.col("_m") < int(share * size / held * 1_000_000))
-    return [(r[1], r[2]) for r in sorted(found.drop("_m").collect(), key=lambda r: (r[0], r[1] or ""))]
+    found = texts.join(F.broadcast(known), F.col("_doc") == F.col("doc_id"))  # bounded by rows
+    n, held = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
+    if (held or 0) > size:
+        found = found.filter(below(share * size / held))
+    got = [(r[1], r[2]) for r in sorted(found.select("_doc", "text", "_toxic").collect(), key=lambda r: (r[0], r[1] or ""))]
+    if n and not got:
+        raise ValueError(f"none of {n} labelled texts fits a sample of {size} bytes")
+    return got
 
 
 def train(rows: list[tuple[str | None, int]]) -> tuple[dict[str, float], float]:
-    """Weights and bias of the classifier.  The annotator, who labelled the rows, is one voter among the others."""
+    """Weights and bias of the classifier; without rows the fixed lexicons, and a warning."""
     toxic = np.array([y for _, y in rows], bool)
     prior = float(np.clip(toxic.mean() if len(toxic) else 0.1, 0.01, 0.5))
-    if not rows:  # lexicons alone
+    if not rows:
+        warnings.warn("no labelled text to learn from: the fixed lexicons alone score", stacklevel=2)
         return {w: 6.0 for x in LEXICONS.values() for w in x.split()}, float(np.log(prior / (1 - prior)))
     sample = Sample([t for t, _ in rows])
     voters = Voters(mine(sample, toxic))
     asked = np.array([x in voters.every for x in sample.names], bool)
-    votes = np.array(
-        [[*voters(t, set(sample.names[own[asked[own]]])), int(y)] for (t, y), own in zip(rows, sample.per_row)]
-    )
+    votes = np.array([voters(t, set(sample.names[own[asked[own]]])) for (t, _), own in zip(rows, sample.per_row)])
     soft, _, _ = label_model(votes, prior)
-    return fit_linear(sample, soft)
+    weights, bias = fit_linear(sample, soft)
+    w = np.array([weights.get(x, 0.0) for x in sample.names])
+    return weights, bias - fitting_cut(np.bincount(sample.r, weights=w[sample.c], minlength=sample.n) + bias, toxic)
 
 
 def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
@@ -222,8 +247,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Labels are learnt only from rows whose crc32(doc_id) mod 5 is not 0.  Rows
-    without a label, null texts, null doc_ids and repeated rows are all scored;
-    without any label the fixed lexicons decide.
+    without a label, null, empty and very long texts, null doc_ids and repeated
+    rows are all scored; without any labelled text the fixed lexicons decide,
+    with a warning.  Other columns are not looked at.  Empty table: empty.
     """
     weights, bias = train(training_rows(docs, labels, rows))
     return score(docs, weights, bias).select(

@@ -352,6 +352,13 @@ def test_large_means_are_split(spark):
     assert len(got) == 40 and abs(got.mean() - 900) < 5 * 30 / 6 and 15 < got.std() < 50
 
 
+def test_rows_without_doc_id_draw_apart(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "en", "s", 1) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    n = Counter(r.text for r in mixing.mix(df).collect())
+    assert 200 < len(n) < 300 and len(set(n.values())) > 1  # a mean of one copy leaves out e to the -1 of them
+    assert mixing.mix(df).select("shuffle_key").distinct().count() == sum(n.values())
+
+
 def test_mixing_without_broadcast(spark, odd, monkeypatch):
     want = rows_of(mixing.mix(odd))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
@@ -488,10 +495,106 @@ def test_sample_is_bounded(spark):
     every = toxicity.training_rows(d, l)
     size = sum(len(t) for t, _ in every)
     assert 200 < len(every) <= l.count() and 30 < len(toxicity.training_rows(d, l, rows=100)) < 180
+    with pytest.raises(ValueError, match="none of"):
+        toxicity.training_rows(d, l, size=1)
     few = toxicity.training_rows(d, l, size=size // 4)
     assert 0 < sum(len(t) for t, _ in few) < size // 2 and set(few) <= set(every)
 
 
+def brute_label_model(votes, prior, rounds=25):
+    """The label model in loops."""
+    n, m = len(votes), len(votes[0])
+    post = [0.9 if sum((v == 1) - (v == 0) for v in row) > 0 else 0.1 * prior for row in votes]
+    for _ in range(rounds):
+        table = [[[0.5] * 3 for _ in range(m)] for _ in range(2)]
+        for row, p in zip(votes, post):
+            for j, v in enumerate(row):
+                table[0][j][v + 1] += 1 - p
+                table[1][j][v + 1] += p
+        table = [[[x / sum(t) for x in t] for t in c] for c in table]
+        mean = [[t[2] - t[0] for t in c] for c in table]
+        resid = [[(1 - p) * (v - mean[0][j]) + p * (v - mean[1][j]) for j, v in enumerate(row)] for row, p in zip(votes, post)]
+        sd = [math.sqrt(sum(r[j] ** 2 for r in resid) / n) + 1e-9 for j in range(m)]
+        worth = [1 / (1 + sum(max(0.0, sum(r[j] * r[k] for r in resid) / n / sd[j] / sd[k]) for k in range(m) if k != j) + max(0.0, sum(r[j] ** 2 for r in resid) / n / sd[j] ** 2 - 1)) for j in range(m)]
+        post = []
+        for row in votes:
+            z = sum(worth[j] * math.log(table[1][j][v + 1] / table[0][j][v + 1]) for j, v in enumerate(row)) + math.log(prior / (1 - prior))
+            post.append(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
+    return post
+
+
+def brute_toxicity(docs, labels):
+    """Scores of every row: mined voters, label model, logistic regression and cut in plain Python and dense matrices."""
+    from zlib import crc32
+
+    gold = {}
+    for i, y in labels:
+        if i is not None and y is not None and crc32(str(i).encode()) % 5:
+            gold[i] = max(gold.get(i, 0), y)
+    rows = sorted(((i, t) for i, t in docs if i in gold), key=lambda r: (r[0], r[1] or ""))
+    y = np.array([gold[i] for i, _ in rows], bool)
+    own = [toxicity.features_of(t) for _, t in rows]
+    every, pos = Counter(f for x in own for f in x), Counter(f for x, z in zip(own, y) if z for f in x)
+    mined = sorted(((f, pos[f] / (every[f] + 1) * math.log1p(pos[f])) for f in every if pos[f] >= 4 and pos[f] / every[f] >= 0.95), key=lambda x: (-x[1], x[0]))[:600]
+    six = [{f for f, _ in mined[k::6]} for k in range(6)] if mined else []
+    lexicons = [set(v.split()) for v in toxicity.LEXICONS.values()]
+    known = set().union(*lexicons, *six)
+    votes = []
+    for (_, t), x in zip(rows, own):
+        v = [1 if x & lex else -1 for lex in lexicons] + [1 if x & g else (0 if k % 2 else -1) for k, g in enumerate(six)]
+        v += [1 if re.search(p, (t or "").lower(), re.I) else -1 for p in toxicity.PATTERNS]
+        hits = len(x & known)
+        votes.append(v + [0 if hits == 0 else -1, 1 if hits >= 3 else (0 if hits == 0 else -1)])
+    soft = np.array(brute_label_model(votes, min(0.5, max(0.01, y.mean()))))
+    base = min(0.99, max(0.01, soft.mean()))
+    names = sorted(every)
+    x = np.array([[f in o for f in names] for o in own], float)
+    n, mass = x.sum(0), soft @ x
+    use = (n >= 3) & ((mass - base * n) ** 2 / (n * base * (1 - base) + 1) >= 12)
+    x, n = x[:, use], n[use]
+    assert use.sum() <= toxicity.FEATURES
+    w, b, vw, vb = np.zeros(len(n)), math.log(base / (1 - base)), np.zeros(len(n)), 0.0
+    for _ in range(400):
+        e = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - soft
+        vw, vb = 0.8 * vw - 0.05 / np.sqrt(n) * (e @ x + 0.02 * w), 0.8 * vb - 0.2 * e.mean()
+        w, b = w + vw, b + vb
+    w = np.where(np.abs(w) > 1e-3, w, 0)
+    z = x @ w + b
+    cuts = sorted({(a + c) / 2 for a, c in zip(sorted(set(z)), sorted(set(z))[1:])} | {z.min() - 1, z.max() + 1})
+    wrong = [((z > c) != y).sum() for c in cuts]
+    b -= min((c for c, k in zip(cuts, wrong) if k == min(wrong)), key=abs)
+    weight = dict(zip(np.array(names)[use], w))
+    return [(i, 1 / (1 + math.exp(-min(30.0, max(-30.0, b + sum(weight.get(f, 0.0) for f in toxicity.features_of(t))))))) for i, t in docs]
+
+
+def test_toxicity_equals_brute_force(spark, tmp_path):
+    d, l, docs = toxic_tables(spark, 240)
+    odd = [(9001, None, "en", "a", 1), (9002, "", "en", "a", 1), (None, "scum idiot", "en", "a", 1), (3, docs[3][1], "en", "a", 1)]
+    d = d.union(spark.createDataFrame(odd, d.schema))
+    l = l.union(spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, None, None), (None, 1, 1)], l.schema))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    l.write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(((r.doc_id, r.score, r.predicted) for r in toxicity.op8_query(spark, str(tmp_path)).collect()), key=lambda r: (str(r[0]), r[1]))
+    want = brute_toxicity([(r[0], r[1]) for r in [*docs, *odd]], [(r.doc_id, r.toxic) for r in l.collect()])
+    want = sorted(want, key=lambda r: (str(r[0]), r[1]))
+    assert len(got) == len(want) == 244 and any(s > 0.5 for _, s in want)
+    for (i, s, p), (j, t) in zip(got, want):
+        assert i == j and abs(s - t) < 1e-6 and (p == (t >= 0.5) or abs(t - 0.5) < 1e-6)
+
+
+def test_label_model_equals_loops():
+    rng = np.random.default_rng(7)
+    votes = rng.integers(-1, 2, (60, 7))
+    post, _, _ = toxicity.label_model(votes, 0.2)
+    assert np.allclose(post, brute_label_model(votes.tolist(), 0.2), atol=1e-9)
+
+
+def test_fitting_cut():
+    z, y = np.array([-3.0, -2, -2, 1, 4]), np.array([0, 0, 1, 1, 1], bool)
+    assert toxicity.fitting_cut(z, y) in (-2.5, -0.5) and ((z > toxicity.fitting_cut(z, y)) != y).sum() == 1
+    assert toxicity.fitting_cut(z, np.zeros(5, bool)) == 0 and toxicity.fitting_cut(z, np.ones(5, bool)) == 0
+
+
 def test_label_model_learns_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2

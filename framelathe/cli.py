@@ -8,7 +8,8 @@ import sys
 from pathlib import Path
 
 from .config import QualityGates, Source, load_gates, load_sources
-from .operators.budget import Guard
+from .log import log_event
+from .operators.budget import GIB, Guard
 from .session import session
 
 
@@ -32,25 +33,26 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--catalog-target")
     s = sub.add_parser("scale")
     s.add_argument("--synthetic", action="store_true")
-    s.add_argument("--raw")
+    s.add_argument("--source")
+    s.add_argument("--raw", help="folder that holds the source")
+    s.add_argument("--config")
+    s.add_argument("--gates")
     s.add_argument("--data-root", default="./data")
     s.add_argument("--seed", type=int, default=0)
     s.add_argument("--max-units", type=int, default=None)
     s.add_argument("--budget-gb", type=float, default=None)
+    s.add_argument("--catalog-backend", default="sqlite")
+    s.add_argument("--catalog-target")
     a = p.parse_args(argv)
     spark = session(master="local[*]")
     root = Path(a.data_root)
-    if a.command == "scale":
-        from .streaming import run_scale, synthetic_store, unit_calibration
+    budget = int(a.budget_gb * GIB) if a.budget_gb else None
+    if a.command == "scale" and (a.synthetic or not a.source):
+        from .streaming import run_synthetic_scale
 
-        raw = Path(a.raw) if a.raw else root / "raw" / "synthetic"
-        if a.synthetic:
-            synthetic_store(spark, raw, seed=a.seed)
-        total = sum(f.stat().st_size for f in (raw / "data").rglob("*.parquet"))
-        budget = int(a.budget_gb * 1024**3) if a.budget_gb else total // 4
-        done = run_scale(spark, raw, root / "scale", dims=(7, 7), calibration=unit_calibration(), budget_bytes=budget, max_units=a.max_units)
+        done = run_synthetic_scale(spark, root, seed=a.seed, max_units=a.max_units, budget_bytes=budget)
         print(json.dumps(done.as_dict()))
-        if a.max_units is None and a.synthetic:
+        if a.max_units is None:
             done.assert_invariant()
         return 0
     gates = load_gates(a.gates) if a.gates else QualityGates()
@@ -60,13 +62,29 @@ def main(argv: list[str] | None = None) -> int:
     except KeyError as e:
         print(e, file=sys.stderr)
         return 2
+    if not source.enabled:
+        log_event("source_disabled", source=source.id)
+        return 0
+    if a.command == "scale":
+        from .streaming import run_folder_scale
+
+        if not a.raw:
+            p.error("scale of a source needs --raw")
+        room = budget or int((listed.storage_budget_gb if listed else 25.0) * GIB)
+        done = run_folder_scale(
+            spark, source, a.raw, data_root=root, gates=gates, budget_bytes=room, max_units=a.max_units, catalog_backend=a.catalog_backend, catalog_target=a.catalog_target,
+        )
+        print(json.dumps(done.as_dict()))
+        return 0
     guard = Guard(root, a.budget_gb if a.budget_gb is not None else (listed.storage_budget_gb if listed else 25.0))
     if a.command == "acquire":
         from .plans import acquire
 
         if not a.origin:
             p.error("acquire needs --origin")
+        log_event("storage_usage", when="start", **guard.usage())
         acquire(spark, a.origin, root / "raw" / source.id, guard, dry_run=a.dry_run)
+        log_event("storage_usage", when="end", **guard.usage())
         return 0
     if a.command == "validate":
         from .plans import ingest, run_validation

@@ -6,6 +6,7 @@ within a range), so no task sees all rows.
 
 from __future__ import annotations
 
+import re
 import shutil
 from dataclasses import asdict, dataclass
 from pathlib import Path
@@ -13,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import chunk_and_file, path_class, unit_id
+from ..functions import chunk_and_file, path_class, render_template, unit_id
 from ..functions.text import class_rank
 
 GIB = 1024**3
@@ -65,6 +66,21 @@ def data_units(files: DataFrame) -> DataFrame:
     )
 
 
+def with_videos(units: DataFrame, files: DataFrame, template: str, keys: list[str]) -> DataFrame:
+    """``units`` with ``videos``, the paths that the template names for each camera, and ``size`` with those that are listed.
+
+    The template may name chunk and file as any version of the format does, padded as it says.
+    """
+    pads = {name: int(pad or 1) for name, pad in re.findall(r"\{(\w+)(?::0(\d+)d)?\}", template)}
+    of = {"chunk": "chunk", "file": "file", "chunk_index": "chunk", "file_index": "file", "episode_chunk": "chunk", "episode_index": "file"}
+    values = {name: (F.col(of[name]), pad) for name, pad in pads.items() if name in of}
+    videos = [render_template(F.replace(F.lit(template), F.lit("{video_key}"), F.lit(k)), values) for k in keys] if template else []
+    units = units.withColumn("videos", F.array(*videos).cast("array<string>"))
+    sizes = files.select(F.col("path").alias("_video"), F.col("size").alias("_size"))
+    found = units.select("path", F.explode("videos").alias("_video")).join(sizes, "_video").groupBy("path").agg(F.sum("_size").alias("_more"))
+    return units.join(found, "path", "left").withColumn("size", F.col("size") + F.coalesce("_more", F.lit(0))).drop("_more")
+
+
 def preadmit(units: DataFrame, budget: int, headroom: float = 0.9, size: str = "size") -> DataFrame:
     """Adds ``refused``: a unit that alone exceeds the budget with its headroom is listed, not dropped silently."""
     return units.withColumn("refused", F.col(size) > F.lit(budget * headroom))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .budget import running_sum
+
 SAMPLE_FRAMES = 5
 
 
@@ -27,7 +29,8 @@ def samples(frames: DataFrame, judged: DataFrame, order: list[str], ep: str = "e
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
-def capped(sized: DataFrame, cap: int, order: str = "episode_index", size: str = "size") -> DataFrame:
-    """Rows in order for as long as what came before them is below the cap."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("before") < cap).drop("before")
+def capped(sized: DataFrame, cap: float, order: list[str] | str = "episode_index", size: str = "size") -> DataFrame:
+    """Rows in order for as long as what came before them is below the cap; totals are taken over ranges of the order."""
+    order = [order] if isinstance(order, str) else list(order)
+    total = running_sum(sized, order, F.col(size), "_total")
+    return total.filter(F.col("_total") - F.col(size) < F.lit(cap)).drop("_total")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -404,7 +407,7 @@ def unit_ids(spark, sf_dir):
     return budget.data_units(views.listing(spark, sf_dir))
 
 
-_VIDEO = "videos/cam/chunk-{chunk:03d}/file-{file:03d}.mp4"
+_VIDEO = "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4"
 
 
 @query(f"""WITH {LISTING_SQL}, {_UNITS_OF}, v AS (SELECT path, size, format('videos/cam/chunk-{{:03d}}/file-{{:03d}}.mp4', chunk, file) AS video FROM du)
@@ -412,10 +415,8 @@ SELECT v.path, v.video, (v.size + coalesce(l.size, 0))::BIGINT AS total FROM v L
 def unit_sizes_with_videos(spark, sf_dir):
     """Each unit's data file and the video that the template names, if it is listed."""
     files = views.listing(spark, sf_dir)
-    units = budget.data_units(files)
-    named = units.withColumn("video", render_template(F.lit(_VIDEO), {"chunk": (F.col("chunk"), 3), "file": (F.col("file"), 3)}))
-    sizes = files.select(F.col("path").alias("video"), F.col("size").alias("_size"))
-    return named.join(sizes, "video", "left").select("path", "video", (F.col("size") + F.coalesce("_size", F.lit(0))).alias("total"))
+    named = budget.with_videos(budget.data_units(files), files, _VIDEO, ["cam"])
+    return named.select("path", F.get("videos", F.lit(0)).alias("video"), F.col("size").alias("total"))
 
 
 @query("""SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END, 0), nullif(CASE WHEN doc_id % 2 = 0 THEN n_chars END, 0), 0)::BIGINT AS size,
@@ -484,14 +485,26 @@ def synthetic_store(spark, sf_dir):
     return synthetic_frames(spark, chunks=4, frames=200)
 
 
-@query()
+_RUN_SQL = """
+WITH u AS (SELECT unnest(range(0, 4)) AS k), e AS (SELECT k, k * 3 + unnest(range(0, 3)) AS ep FROM u)
+SELECT format('{:03d}', k) AS unit, count(*) FILTER (WHERE ep % 7 <> 0) AS passed, count(*) FILTER (WHERE ep % 7 = 0) AS quarantined,
+  count(*) FILTER (WHERE ep % 7 <> 0) * 200 AS frames, true AS within_budget, true AS invariant_holds FROM e GROUP BY k
+"""
+
+
+@query(_RUN_SQL)
 def process_and_evict_stream(spark, sf_dir):
-    """A synthetic store gated, curated and evicted unit by unit; its manifest.  Files are local, as a landing folder is."""
-    from ..streaming import run_scale, synthetic_store, unit_calibration
+    """A synthetic store that is twice the budget, gated, curated and evicted unit by unit: its manifest, whether each unit
+    kept the budget, and whether the run did.  Files are local, as a raw folder is."""
+    from ..streaming import FolderSource, run_scale, synthetic_store, unit_calibration
     from ..streaming.evict import manifest
 
     root = Path(tempfile.mkdtemp(prefix="framelathe-scale-"))
-    synthetic_store(spark, root / "raw", chunks=4, frames=200)
-    total = sum(f.stat().st_size for f in (root / "raw" / "data").rglob("*.parquet"))
-    run_scale(spark, root / "raw", root / "out", dims=(7, 7), calibration=unit_calibration(), budget_bytes=total // 2)
-    return manifest(spark, root / "out").select("unit", "passed", "quarantined")
+    synthetic_store(spark, root / "store", chunks=4, frames=200)
+    total = sum(f.stat().st_size for f in (root / "store" / "data").rglob("*.parquet"))
+    with contextlib.redirect_stdout(io.StringIO()):  # events
+        done = run_scale(spark, FolderSource(root / "store", by="chunk"), data_root=root, budget_bytes=total // 2, calibration=unit_calibration(), dataset_version="v0")
+    rows = manifest(spark, root / "manifest" / "v0").select("unit", "passed", "quarantined", "frames", "peak").collect()  # four
+    shutil.rmtree(root)
+    kept = [(r["unit"], r["passed"], r["quarantined"], r["frames"], r["peak"] < total // 2, done.invariant_holds) for r in rows]
+    return spark.createDataFrame(kept, "unit string, passed bigint, quarantined bigint, frames bigint, within_budget boolean, invariant_holds boolean")

@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 from .frames import Frames, from_arrays
 
 
+def declared_dims(info: dict) -> tuple[int, int]:
+    """Declared widths of state and action; 0 where not declared."""
+    features = info.get("features") or {}
+    width = lambda k: int(((features.get(k) or {}).get("shape") or [0])[0])
+    return width("observation.state"), width("action")
+
+
 @dataclass(frozen=True)
 class Dataset:
     root: Path
@@ -36,10 +43,7 @@ class Dataset:
         return sorted((self.root / "data").rglob("*.parquet"))
 
     def dims(self) -> tuple[int, int]:
-        """Declared widths of state and action; 0 where not declared."""
-        features = self.info().get("features") or {}
-        width = lambda k: int(((features.get(k) or {}).get("shape") or [0])[0])
-        return width("observation.state"), width("action")
+        return declared_dims(self.info())
 
     def data(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(self.root / "data"))

@@ -1,4 +1,4 @@
-"""``python -m framelathe.cli pipeline|validate|acquire|scale``"""
+"""``python -m framelathe.cli pipeline|validate|acquire|tasks|scale|report|seed``"""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from .session import session
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="framelathe")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("pipeline", "validate", "acquire"):
+    for name in ("pipeline", "validate", "acquire", "tasks"):
         s = sub.add_parser(name)
+        if name == "tasks":
+            s.add_argument("--only", nargs="*", help="tasks to run, in their order; all without it")
         s.add_argument("--source", required=True)
         s.add_argument("--config")
         s.add_argument("--gates")
@@ -31,6 +33,11 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--max-new-episodes", type=int, default=20)
         s.add_argument("--catalog-backend", default="parquet")
         s.add_argument("--catalog-target")
+    for name in ("report", "seed"):
+        s = sub.add_parser(name)
+        s.add_argument("--data-root", default="./data")
+        s.add_argument("--catalog-backend", default="parquet")
+        s.add_argument("--catalog-target")
     s = sub.add_parser("scale")
     s.add_argument("--synthetic", action="store_true")
     s.add_argument("--source")
@@ -46,6 +53,22 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = session(master="local[*]")
     root = Path(a.data_root)
+    if a.command in ("report", "seed"):
+        from .operators import report
+        from .operators.catalog_store import open_catalog
+
+        versions = open_catalog(spark, a.catalog_backend, a.catalog_target or root / ("catalog.db" if a.catalog_backend == "sqlite" else "catalog"))
+        rows = versions.read()
+        if a.command == "seed":  # a backend makes its table when it is opened
+            print(json.dumps({"versions": rows.count()}))
+            return 0
+        tables = {"versions": report.versions(rows), "pass_rates": report.pass_rates(rows), "totals": report.totals(rows)}
+        if list((root / "manifest").glob("*.json")):
+            tables["storage"] = report.storage(report.manifests(spark, str(root / "manifest")).filter("budget_bytes is not null")).drop("processed_units", "processed_episodes")
+        for name, df in tables.items():
+            for r in df.toJSON().collect():  # a row a version
+                print(json.dumps({"table": name} | json.loads(r)))
+        return 0
     budget = int(a.budget_gb * GIB) if a.budget_gb else None
     if a.command == "scale" and (a.synthetic or not a.source):
         from .streaming import run_synthetic_scale
@@ -92,6 +115,14 @@ def main(argv: list[str] | None = None) -> int:
         if a.schema_only:
             return int(ingest(spark, source.id, root, gates)[0] != "ready")
         return int(run_validation(spark, source.id, guard, root, gates).action != "ready")
+    if a.command == "tasks":
+        from .plans import Job, run_tasks
+
+        job = Job(
+            spark, source, root, gates, guard.budget_gb, Path(a.origin) if a.origin else None, a.target_per_task, a.max_new_episodes, a.catalog_backend,
+            Path(a.catalog_target) if a.catalog_target else None,
+        )
+        return int(run_tasks(job, a.only or None).get("validate", {"action": "ready"})["action"] != "ready")
     from .plans import run_pipeline
 
     done = run_pipeline(

@@ -20,12 +20,6 @@ def half_even_int(c: Column) -> Column:
     return F.rint(c).cast("bigint")
 
 
-def vector_round(c: Column, places: int = 6) -> Column:
-    """Rounding as array libraries do it: scale, round to even, scale back."""
-    k = F.lit(float(10**places))
-    return F.rint(c * k) / k
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 for an empty whole; of integers, so the result doesn't depend on row order."""
     return F.coalesce(part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)), F.lit(0.0))
@@ -54,3 +48,11 @@ def row_score(values: Sequence[Column], center: Sequence[float], scale: Sequence
         raise ValueError(f"{len(values)} dimensions, but statistics of {len(center)} and {len(scale)}")
     z = [robust_z(v, c, s) for v, c, s in zip(values, center, scale)]
     return F.lit(0.0) if not z else z[0] if len(z) == 1 else F.greatest(*z)
+
+
+def list_score(column: str, center: Sequence[float], scale: Sequence[float]) -> Column:
+    """The same of a column of lists; 0 for an empty one."""
+    ok = [math.isfinite(c) and math.isfinite(s) and s != 0 for c, s in zip(center, scale)]
+    mid, wide = (F.array(*[F.lit(float(x)) for x in xs]) for xs in ([c if k else 0.0 for c, k in zip(center, ok)], [s if k else math.inf for s, k in zip(scale, ok)]))
+    z = F.transform(column, lambda v, i: finite_or_zero((v - F.get(mid, i)) / F.get(wide, i)))
+    return F.coalesce(F.array_max(z), F.lit(0.0))

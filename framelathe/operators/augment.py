@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibrate import Calibration
+from .catalog import last_of
 
 
 def deficits(counts: DataFrame, target: int) -> DataFrame:
@@ -19,13 +20,12 @@ def plan(counts: DataFrame, names: DataFrame, *, target: int = 3, cap: int = 20,
     """``episode_index, task, task_index``: episodes to make, in order of task name, at most ``cap`` in all.
 
     Tasks without an index are left out; of several indices of one name the
-    last counts.  Numbering is a window without partitions over at most
-    ``target`` rows per task, cut to the cap.
+    last counts.  Only the first ``cap`` rows in order are kept before they are
+    numbered, so the window without partitions sees no more.
     """
-    index = names.groupBy("task").agg(F.max("task_index").alias("task_index"))
+    index = last_of(names, "task", "task_index")
     each = deficits(counts, target).join(index, "task").select("task", "task_index", F.explode(F.sequence(F.lit(1), F.col("deficit").cast("int"))).alias("k"))
-    w = Window.orderBy("task", "k")
-    rows = each.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap)
+    rows = each.orderBy("task", "k").limit(cap).withColumn("rn", F.row_number().over(Window.orderBy("task", "k")))
     return rows.select((F.col("rn") - 1 + F.lit(next_episode)).cast("bigint").alias("episode_index"), "task", "task_index")
 
 
@@ -36,7 +36,7 @@ def uniform(seed: int, *parts: Column | str) -> Column:
 
 
 def smooth(seed: int, tag: str, dims: int, center: list[float], scale: list[float], ep: str, t: str) -> Column:
-    """An array of slow sinusoids around a centre, one per dimension, as floats."""
+    """An array of slow sinusoids around a centre, one per dimension, as floats; ranges of frequency and amplitude are fixed values."""
     out = []
     for d in range(dims):
         u = [uniform(seed, F.lit(f"{tag}:{d}:{k}"), ep) for k in range(3)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import row_score
 from ..sources.frames import Frames
 from .jerk import with_jerk
-from .quantiles import exact_percentiles
+from .quantiles import by_column, exact_percentiles, long_percentiles
 
 #: Scales a median absolute deviation to a standard deviation.  Fixed value.
 MAD_TO_STD = 1.4826
@@ -35,6 +35,10 @@ class Calibration:
     def fits(self, signal_dims: int, action_dims: int) -> bool:
         return len(self.jerk_center) == signal_dims and len(self.action_center) == action_dims
 
+    def fitting(self, signal_dims: Column, action_dims: Column) -> Column:
+        """The same of columns."""
+        return (signal_dims == len(self.jerk_center)) & (action_dims == len(self.action_center))
+
     def save(self, path: str | Path) -> None:
         path = Path(path)
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -52,8 +56,8 @@ def rint6(x: float) -> float:
 def center_scale(df: DataFrame, cols: list[Column]) -> tuple[list[float], list[float], list[int]]:
     """Median and scaled median absolute deviation of each column, nulls passed over, and how many values it has.
 
-    NaN for a column that holds a NaN or nothing.  Three jobs for all columns
-    together: counts, medians, and the deviations from them; exact at any size.
+    NaN for a column that holds a NaN or nothing.  All columns together: counts,
+    medians, and the deviations from them; exact at any size.
     """
     if not cols:
         return [], [], []
@@ -69,6 +73,23 @@ def center_scale(df: DataFrame, cols: list[Column]) -> tuple[list[float], list[f
     return center, scale, counts
 
 
+def list_center_scale(df: DataFrame, column: str, dims: int) -> tuple[list[float], list[float]]:
+    """The same for a column of lists of so many doubles, however many they are: values are aggregated by their place."""
+    rows = df.select(F.posexplode(column).alias("k", "v")).filter("v is not null")
+    found = {r["k"]: r for r in rows.groupBy("k").agg(F.count("v").alias("n"), F.count_if(F.isnan("v")).alias("nan")).collect()}  # a row a dimension
+    clean = [k for k in range(dims) if k in found and not found[k]["nan"]]
+    center, scale = [float("nan")] * dims, [float("nan")] * dims
+    if clean:
+        place = F.array_position(F.array(*map(F.lit, clean)), F.col("k")).cast("int") - 1
+        own = rows.filter(F.col("k").isin(clean)).select(place.alias("k"), "v")
+        half, counts = [0.5] * len(clean), [found[k]["n"] for k in clean]
+        mid = long_percentiles(own, half, counts)
+        off = long_percentiles(own.withColumn("v", F.abs(F.col("v") - by_column(mid))), half, counts)
+        for k, c, m in zip(clean, mid, off):
+            center[k], scale[k] = c, m * MAD_TO_STD
+    return center, scale
+
+
 def calibrate(frames: Frames, source: str, percentile: float = 99.9, hot_rows: int | None = None) -> Calibration:
     """Statistics pooled over all frames.  The jerk table is cached while it is read several times.
 

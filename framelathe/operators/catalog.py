@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of the catalog.  Fixed names.
@@ -21,9 +21,15 @@ def first_tasks(frames: DataFrame, order: list[str], ep: str = "episode_index",
     return frames.groupBy(F.col(ep).alias("ep")).agg(F.coalesce(value.cast("bigint") if task in frames.columns else F.max(F.lit(0)), F.lit(0)).cast("bigint").alias("task_index"))
 
 
+def last_of(names: DataFrame, key: str, value: str) -> DataFrame:
+    """One row a key, with the value of the last row that has it."""
+    return names.withColumn("_row", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(value, "_row").alias(value))
+
+
 def named(tasks_of: DataFrame, names: DataFrame) -> DataFrame:
-    """``ep, task``: names looked up, ``task_<i>`` where there is none; of a repeated index the last name counts."""
-    one = names.groupBy("task_index").agg(F.max("task").alias("task"))
+    """``ep, task``: names looked up, ``task_<i>`` where there is none; of a repeated index the last name counts, in the
+    order in which the table is read."""
+    one = last_of(names, "task_index", "task")
     made = F.concat(F.lit("task_"), F.col("task_index").cast("string"))
     return tasks_of.join(one, "task_index", "left").select("ep", F.coalesce("task", made).alias("task"))
 
@@ -84,11 +90,3 @@ class Catalog:
             import shutil
 
             shutil.rmtree(old)
-
-
-def latest(catalog: DataFrame) -> DataFrame:
-    return catalog.orderBy("dataset_version")
-
-
-def rank_versions(catalog: DataFrame, by: str = "created_at") -> DataFrame:
-    return catalog.withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc(by))))

@@ -70,12 +70,12 @@ def jerk_rows(frames: Frames):
     return with_jerk(frames).df.filter("rn > 3")
 
 
-def array_jerk(df, column: str, dims: int, ep: str, order: list[str], name: str = "j"):
-    """``df`` with ``rn`` and the list's jerk as ``<name>0..``: three lags of the list, then plain arithmetic by dimension."""
+def list_jerk(df, column: str, ep: str, order: list[str], name: str = "j"):
+    """``df`` with ``rn`` and ``name``, the jerk of a list of numbers as a list: three lags, then arithmetic by place."""
     w = Window.partitionBy(ep).orderBy(*order)
-    out = df.withColumns({"rn": F.row_number().over(w), **{f"_x{k}": F.lag(column, k).over(w) for k in (1, 2, 3)}})
-    cols = {}
-    for i in range(dims):
-        x, x1, x2, x3 = (F.get(F.col(c), F.lit(i)).cast("double") for c in (column, "_x1", "_x2", "_x3"))
-        cols[f"{name}{i}"] = third_difference(x, x1, x2, x3)
-    return out.withColumns(cols).drop("_x1", "_x2", "_x3")
+    lags = {f"_x{k}": F.lag(column, k).over(w) for k in (1, 2, 3)}
+    out = df.withColumns({"rn": F.row_number().over(w), **lags})
+    less = lambda a, b: F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+    x, x1, x2, x3 = (F.col(c) for c in (column, "_x1", "_x2", "_x3"))
+    middle = less(x1, x2)
+    return out.withColumn(name, less(less(less(x, x1), middle), less(middle, less(x2, x3)))).drop(*lags)

@@ -5,9 +5,10 @@ Both a driver-side check of one dataset and a relational one over many.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import QualityGates
@@ -50,12 +51,17 @@ def validate(spark: SparkSession, dataset: Dataset, gates: QualityGates) -> Sche
     return SchemaResult(not reasons, info.get("codebase_version"), sorted(features), reasons)
 
 
+def lacking(required: Sequence[str], features: Column | str) -> Column:
+    """Required features that an array of declared ones has not, in their order."""
+    return F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), features)
+
+
 def validate_many(listed: DataFrame, gates: QualityGates) -> DataFrame:
     """``dataset, passed, reasons`` from ``dataset, features array<string>, image_features array<string>,
     columns array<string>, has_tasks boolean``: the same rules on a table of declarations."""
     g = gates.schema
     have = lambda name: F.array_contains("features", name)
-    said = [F.when(~have(f), f"missing required feature '{f}'") for f in g.required_features]
+    said = []
     if g.require_at_least_one_image:
         any_of = F.array(*[F.lit(x) for x in g.image_keys_any_of]) if g.image_keys_any_of else F.array().cast("array<string>")
         said.append(F.when(~F.arrays_overlap("features", any_of), f"no image feature present (none of {list(g.image_keys_any_of)})"))
@@ -66,5 +72,6 @@ def validate_many(listed: DataFrame, gates: QualityGates) -> DataFrame:
     for f in g.required_features:
         lacks = F.col("columns").isNotNull() & ~F.array_contains("image_features", f) & ~F.array_contains("columns", f)
         said.append(F.when(lacks, f"required feature '{f}' declared but not a data column"))
-    out = listed.withColumn("reasons", F.array_compact(F.array(*said)))
+    first = F.transform(lacking(g.required_features, "features"), lambda f: F.concat(F.lit("missing required feature '"), f, F.lit("'")))
+    out = listed.withColumn("reasons", F.concat(first, F.array_compact(F.array(*said))))
     return out.select("dataset", (F.size("reasons") == 0).alias("passed"), "reasons")

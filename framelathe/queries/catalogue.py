@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import QualityGates, SchemaGates, SignalGates
-from ..functions import half_even, path_class, render_template, robust_z, suffix_after_dash
+from ..functions import half_even, nan_if_null, path_class, suffix_after_dash
 from ..operators import augment, budget, catalog, curate, report
 from ..operators.calibrate import Calibration, calibrate
-from ..operators.calibrate import center_scale
-from ..operators.gates import combined_rate, frame_scores, missing_ratio, signal_gates, summary
-from ..operators.jerk import array_jerk, jerk_rows
+from ..operators.calibrate import list_center_scale
+from ..operators.gates import combined_rate, episode_metrics, frame_scores, missing_ratio, signal_gates, summary
+from ..operators.jerk import jerk_rows, list_jerk
 from ..operators.quantiles import exact_percentiles
-from ..operators.schema_gate import validate_many
-from ..functions import row_score
+from ..operators.schema_gate import lacking, validate_many
+from ..functions import list_score
 from ..sources.frames import Frames
 from . import views
 from .views import CAL_SQL, FE_SQL, FL_SQL, LISTING_SQL, UNITS_SQL, VERDICT_SQL, table
@@ -104,32 +104,31 @@ SELECT f.vec_id, rn::INTEGER AS rn, round_even(jm.z, 6) AS jerk_score, round_eve
 def vector_frame_scores(spark, sf_dir):
     """Lists of 64 dimensions, an episode per label."""
     v = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding").filter(F.size("embedding") == 64)
-    df = array_jerk(v, "embedding", 64, "label", ["vec_id"]).select(
-        "vec_id", "rn", *[F.get("embedding", F.lit(i)).cast("double").alias(f"a{i}") for i in range(64)], *[f"j{i}" for i in range(64)]
-    ).persist()
-    a, j = [F.col(f"a{i}") for i in range(64)], [F.col(f"j{i}") for i in range(64)]
-    ac, sa, _ = center_scale(df, a)
-    jc, js, _ = center_scale(df, j)  # null for the first three of a label
-    return df.select(
-        "vec_id", "rn", half_even(F.when(F.col("rn") > 3, row_score(j, jc, js)), 6).alias("jerk_score"), half_even(row_score(a, ac, sa), 6).alias("action_score")
-    )
+    df = list_jerk(v, "embedding", "label", ["vec_id"]).withColumn("a", F.transform("embedding", lambda x: x.cast("double")))
+    df = df.select("vec_id", "rn", "a", "j").persist()
+    try:
+        ac, sa = list_center_scale(df, "a", 64)
+        jc, js = list_center_scale(df.filter("rn > 3"), "j", 64)
+    finally:
+        df.unpersist()
+    out = df.select("vec_id", "rn", half_even(F.when(F.col("rn") > 3, list_score("j", jc, js)), 6).alias("jerk_score"), half_even(list_score("a", ac, sa), 6).alias("action_score"))
+    return out
 
 
 @query("""
 WITH g AS (
-  SELECT conv_id AS ep, count(*) AS n, (max(turn) - min(turn))::DOUBLE AS duration FROM conversations WHERE turn % 3 <> 1 GROUP BY 1
-), e AS (SELECT *, round_even(duration, 0)::BIGINT + 1 AS expected FROM g)
+  SELECT conv_id AS ep, count(*) AS n, (max(turn) - min(turn))::DOUBLE AS duration FROM conversations GROUP BY 1
+), e AS (SELECT *, round_even(duration * 1.5, 0)::BIGINT + 1 AS expected FROM g)
 SELECT ep, n AS n_frames, duration,
   round_even(CASE WHEN n > 1 AND duration > 0 THEN greatest(0, (expected - n) / nullif(expected, 0)) ELSE 0 END::DOUBLE, 6) AS missing_frame_ratio
 FROM e
 """)
 def missing_frame_ratio(spark, sf_dir):
-    """Conversations are episodes of one frame a second; a third of the turns is taken out."""
-    c = table(spark, sf_dir, "conversations").filter("turn % 3 <> 1")
-    by = c.groupBy(F.col("conv_id").alias("ep")).agg(
+    """Conversations are episodes of a turn a second, which should have had three in two."""
+    by = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("ep")).agg(
         F.count(F.lit(1)).alias("n_frames"), (F.max_by("turn", "turn") - F.min_by("turn", "turn")).cast("double").alias("duration")
     )
-    return by.select("ep", "n_frames", "duration", half_even(missing_ratio(F.col("n_frames"), F.col("duration"), 1.0, F.lit(0)), 6).alias("missing_frame_ratio"))
+    return by.select("ep", "n_frames", "duration", half_even(missing_ratio(F.col("n_frames"), F.col("duration"), 1.5, F.lit(0)), 6).alias("missing_frame_ratio"))
 
 
 @query("""
@@ -145,10 +144,10 @@ def nan_inf_frames(spark, sf_dir):
     v = (
         F.when(e % 97 == 0, float("nan")).when(e % 83 == 0, F.lit(None).cast("double")).when(e % 89 == 0, float("inf")).when(e % 79 == 0, float("-inf")).otherwise(F.col("value"))
     )
-    df = table(spark, sf_dir, "events").select(F.col("user_id").alias("ep"), F.coalesce(v, F.lit(float("nan"))).alias("v"))
-    by = df.groupBy("ep").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if(F.isnan("v")).alias("bad"), F.count_if(robust_z(F.col("v"), 10.0, 5.0) > 4).alias("far"))
-    share = lambda c: half_even(F.col(c) / F.col("n_frames"), 6)
-    return by.select("ep", "n_frames", share("bad").alias("nan_ratio"), share("far").alias("action_ratio"))
+    df = table(spark, sf_dir, "events").select(F.col("user_id").alias("ep"), "event_id", nan_if_null(v).alias("v"))
+    still = Calibration("events", 1, 99.9, [0.0], [0.0], [10.0], [5.0], 0.0, 4.0)  # no jerk scores
+    by = episode_metrics(Frames(df, "ep", ("event_id",), (), ("v",)), still)
+    return by.select("ep", "n_frames", F.col("missing_frame_ratio").alias("nan_ratio"), F.col("action_anomalous_ratio").alias("action_ratio"))
 
 
 @query(f"""WITH {VERDICT_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed,
@@ -173,11 +172,12 @@ def exact_percentiles_narrowed(spark, sf_dir):
     return spark.createDataFrame([tuple(got)], "p50 double, p999 double, q25 double")
 
 
-@query("SELECT c::VARCHAR AS case_name, fits FROM (VALUES ('same', true), ('narrow state', false), ('narrow action', false)) t(c, fits)")
+@query("SELECT len(embedding) AS width, count(*) AS n, len(embedding) = 64 AS fits FROM embeddings GROUP BY 1")
 def calibration_fits(spark, sf_dir):
-    c = Calibration("x", 1, 99.9, [0.0] * 14, [1.0] * 14, [0.0] * 7, [1.0] * 7)
-    rows = [("same", c.fits(14, 7)), ("narrow state", c.fits(15, 7)), ("narrow action", c.fits(14, 6))]
-    return spark.createDataFrame(rows, "case_name string, fits boolean")
+    """Whether vectors of each width that there is fit a calibration of 64 dimensions."""
+    c = Calibration("x", 1, 99.9, [0.0] * 64, [1.0] * 64, [0.0] * 64, [1.0] * 64)
+    width = F.size("embedding")
+    return table(spark, sf_dir, "embeddings").groupBy(width.alias("width")).agg(F.count(F.lit(1)).alias("n")).withColumn("fits", c.fitting(F.col("width"), F.col("width")))
 
 
 # --- curation and quarantine ----------------------------------------------------------------------------------------
@@ -372,10 +372,12 @@ def schema_gate(spark, sf_dir):
     return validate_many(listed, _NEED).withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query("SELECT feature FROM (VALUES ('observation.state'), ('action'), ('gripper')) r(feature) EXCEPT SELECT feature FROM (VALUES ('action'), ('cam1')) h(feature)")
+@query("""SELECT source, feature FROM (SELECT DISTINCT source FROM documents), (VALUES ('de'), ('en'), ('xx')) r(feature)
+  EXCEPT SELECT source, lang FROM documents""")
 def required_difference(spark, sf_dir):
-    need, have = (F.array(*map(F.lit, x)) for x in (("observation.state", "action", "gripper"), ("action", "cam1")))
-    return spark.range(1).select(F.explode(F.array_except(need, have)).alias("feature"))
+    """Required features that a declaration lacks: the languages of a source's documents."""
+    have = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("features"))
+    return have.select("source", F.explode(lacking(("de", "en", "xx"), "features")).alias("feature"))
 
 
 # --- files, budgets, units ------------------------------------------------------------------------------------------

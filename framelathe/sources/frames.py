@@ -37,7 +37,7 @@ def from_arrays(
     df: DataFrame, state_dims: int, action_dims: int, *, state: str = "observation.state", action: str = "action",
     ep: str = "episode_index", ts: str = "timestamp", frame: str = "frame_index",
 ) -> Frames:
-    """Frames of list columns whose widths the dataset declares.  A short, long or null list is a frame of NaN.
+    """Frames of list columns whose widths the dataset declares.  A null list is a frame of NaN, one of another width raises.
 
     Order is ``frame_index`` where there is one, then the timestamp.
     """
@@ -51,7 +51,10 @@ def from_arrays(
     for name, n, tag in ((state, state_dims, "s"), (action, action_dims, "a")):
         c = F.col(f"`{name}`")
         for i in range(n):
-            wide.append(nan_if_null(F.when(F.size(c) == n, F.get(c, F.lit(i)))).alias(f"{tag}{i}"))
+            value = F.when(c.isNull() | (F.size(c) == n), F.get(c, F.lit(i)).cast("double"))
+            if i == 0:  # looked at once a list
+                value = value.otherwise(F.raise_error(F.format_string(f"{name}: %d values, {n} declared", F.size(c))).cast("double"))
+            wide.append(nan_if_null(value).alias(f"{tag}{i}"))
     clock = F.col(ts).cast("double") if ts in cols else F.lit(None).cast("double")
     out = df.select(F.col(ep).alias("ep"), *[F.col(c).alias(f"o_{c}") for c in order], clock.alias("ts"), *wide)
     return Frames(

@@ -295,6 +295,89 @@ def test_validation_stops_where_nothing_was_acquired(spark, tmp_path):
     assert run_validation(spark, "none", Guard(tmp_path, 1), tmp_path, GATES).action == "error"
 
 
+def test_tasks_run_one_by_one(spark, made, tmp_path, capsys):
+    from framelathe.cli import main
+
+    (tmp_path / "g.yaml").write_text("schema: {required_features: [action], image_keys_any_of: [cam1]}\n")
+    base = ["tasks", "--source", "s", "--gates", str(tmp_path / "g.yaml"), "--data-root", str(tmp_path / "d"), "--budget-gb", "1", "--origin", str(made)]
+    unit_calibration().save(tmp_path / "d" / "calibration" / "s.json")
+    assert main([*base, "--only", "acquire", "validate"]) == 0
+    assert main([*base, "--only", "catalog_real"]) == 0
+    rows = catalog.Catalog(spark, tmp_path / "d" / "catalog").read().collect()
+    assert [(r.dataset_version, r.gate_pass_rate) for r in rows] == [("v0.1.0-s", round(7 / 9, 4))]
+    assert main([*base, "--only", "augment", "catalog_aug"]) == 0
+    assert main([*base, "--only", "augment", "catalog_aug"]) == 0  # again by itself
+    rows = {r.dataset_version: r for r in catalog.Catalog(spark, tmp_path / "d" / "catalog").read().collect()}
+    assert set(rows) == {"v0.1.0-s", "v0.2.0-s-aug"} and rows["v0.2.0-s-aug"].episode_count >= rows["v0.1.0-s"].episode_count == 7
+    capsys.readouterr()
+    assert main(["report", "--data-root", str(tmp_path / "d")]) == 0
+    said = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [r["dataset_version"] for r in said if r["table"] == "versions"] == ["v0.1.0-s", "v0.2.0-s-aug"]
+    assert main(["seed", "--data-root", str(tmp_path / "d"), "--catalog-backend", "sqlite"]) == 0 and (tmp_path / "d" / "catalog.db").exists()
+
+
+def test_postgres_statements(spark, monkeypatch):
+    """What is sent, to a stand-in for the driver package."""
+    import sys
+    import types
+
+    from framelathe.operators.catalog_store import COLUMNS
+
+    sent = []
+
+    class Stub:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            sent.append("done")
+
+        def cursor(self):
+            return self
+
+        def executemany(self, sql, rows):
+            sent.append((sql, rows))
+
+        def execute(self, sql):
+            return types.SimpleNamespace(fetchall=lambda: [("v1", "s", None, None, 2, 3, {"a": 2}, 0.5, 0, None, "now", None)])
+
+    monkeypatch.setitem(sys.modules, "psycopg", types.SimpleNamespace(connect=lambda dsn: Stub()))
+    c = open_catalog(spark, "postgres", "dsn")
+    row = c.read()
+    assert row.first().task_distribution == '{"a": 2}' and row.first().episode_count == 2
+    c.upsert(row)
+    sql, rows = next(x for x in sent if isinstance(x, tuple))
+    assert sql.count("%s") == len(COLUMNS) == len(rows[0]) and "%s::jsonb" in sql and "ON CONFLICT (dataset_version) DO UPDATE SET source_id = EXCLUDED.source_id" in sql
+    assert "dataset_version = EXCLUDED" not in sql
+
+
+def test_last_name_counts(spark):
+    names = spark.createDataFrame([(1, "z"), (1, "a"), (2, "b"), (3, "b")], "task_index bigint, task string").coalesce(1)
+    got = catalog.named(spark.createDataFrame([(10, 1), (11, 4)], "ep bigint, task_index bigint"), names).collect()
+    assert sorted(map(tuple, got)) == [(10, "a"), (11, "task_4")]
+    plan = augment.plan(spark.createDataFrame([("b", 1)], "task string, episodes bigint"), names, target=3, cap=5).collect()
+    assert [tuple(r) for r in plan] == [(0, "b", 3), (1, "b", 3)]
+
+
+def test_lists_of_another_width_raise(spark):
+    from framelathe.sources import from_arrays
+
+    rows = [([1.0, 2.0], [1.0], 0.0, 0), (None, [1.0], 1.0, 0), ([1.0], [1.0], 2.0, 0)]
+    df = spark.createDataFrame(rows, "`observation.state` array<double>, action array<double>, timestamp double, episode_index bigint")
+    assert from_arrays(df.filter("timestamp < 2"), 2, 1).df.select("s0", "s1").collect()[0] == (1.0, 2.0)
+    with pytest.raises(Exception, match="1 values, 2 declared"):
+        from_arrays(df, 2, 1).df.collect()
+
+
+def test_episodes_are_numbered_past_the_first(spark, tmp_path):
+    """A base of episode 0 alone: new ones start at 1."""
+    from framelathe.plans.pipeline import synthesise
+
+    synthetic_store(spark, tmp_path / "s", chunks=1, eps_per_chunk=1, frames=60)
+    assert synthesise(spark, Dataset(tmp_path / "s"), tmp_path / "out", unit_calibration(), target=3, cap=9) == 2
+    assert {r[0] for r in Dataset(tmp_path / "out").data(spark).select("episode_index").distinct().collect()} == {1, 2}
+
+
 def test_catalog_backends(spark, tmp_path):
     from framelathe.operators.catalog_store import open_catalog
 

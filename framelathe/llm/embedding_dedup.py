@@ -26,19 +26,21 @@ SHARD = 8192
 #: Queries that ask a shard together, about: the shard's graph, of some 600 bytes a node, travels once for so many.
 BLOCK = 8192
 DEGREE = 12
-BUILD_BEAM = 24
-QUERY_BEAM = 32
+BUILD_BEAM = 20
+QUERY_BEAM = 16
 #: Queries that advance together.
 BATCH = 256
 AUDITED = 48
+#: How far a cosine in single precision may be off, with room to spare.
+SINGLE = 1e-5
 RECALL = 0.99
 
 
 class Graph:
-    """A navigable small-world graph over the rows of ``x`` (unit vectors)."""
+    """A navigable small-world graph over the rows of ``x`` (unit vectors).  Searches compare in single precision."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM):
-        self.x, self.degree = x, degree
+        self.x, self.degree, self.rough = x, degree, x.astype(np.float32)
         n = len(x)
         mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
@@ -63,12 +65,12 @@ class Graph:
             found = np.full((len(new), 0), -1)
             if self.entry[k] >= 0:
                 begin = np.full((len(new), 1), self.entry[k]) if start is None else start
-                found, _ = self.search(self.x[new], k, begin, beam if k == 0 else 16)
+                found, _ = self.search(self.rough[new], k, begin, beam if k == 0 else 16)
                 start = found
             if len(own):
                 if self.entry[k] < 0:
                     self.entry[k] = int(own[0])
-                near = self.x[own] @ self.x[own].T
+                near = self.rough[own] @ self.rough[own].T
                 np.fill_diagonal(near, -2)
                 peers = own[np.argsort(-near, axis=1, kind="stable")[:, : min(self.degree, len(own) - 1)]]
                 cand = np.concatenate([found[self.member[k][new]], peers], axis=1)
@@ -79,7 +81,7 @@ class Graph:
         """Of each row's candidates (-1: none) the nearest that are nearer to the base than to one chosen
         before, filled up by the nearest of the rest."""
         ok = (cand >= 0) & (cand != base[:, None])
-        sim = np.where(ok, np.einsum("bd,bcd->bc", self.x[base], self.x[cand]), -3.0)
+        sim = np.where(ok, np.einsum("bd,bcd->bc", self.rough[base], self.rough[cand]), np.float32(-3))
         order = np.argsort(-sim, axis=1, kind="stable")[:, : max(64, most)]
         cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
         twin = np.zeros(cand.shape, bool)  # the same candidate twice
@@ -87,7 +89,7 @@ class Graph:
         ranked = np.take_along_axis(cand, by, 1)
         np.put_along_axis(twin, by[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
         sim = np.where(twin, -3.0, sim)
-        v = self.x[cand]
+        v = self.rough[cand]
         between = v @ v.transpose(0, 2, 1)
         b, c = cand.shape
         chosen = np.zeros((b, c), bool)
@@ -126,12 +128,12 @@ class Graph:
 
     def search(self, q: np.ndarray, k: int, begin: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of layer k: ids (-1: none) and similarities, best first, for each query."""
-        n, rows, wide = len(self.x), np.arange(len(q)), max(4, beam // 8)  # opened in one step
+        n, rows, wide = len(self.x), np.arange(len(q)), max(6, beam // 6)  # opened in one step
         seen = np.zeros((len(q), n + 1), bool)
         seen[:, n] = True
         begin = np.where(begin >= 0, begin, n)
         ids = np.full((len(q), beam), n)
-        sim = np.full((len(q), beam), -3.0)
+        sim = np.full((len(q), beam), -3, np.float32)
         opened = np.ones((len(q), beam), bool)
 
         def merge(rows, new):
@@ -139,7 +141,9 @@ class Graph:
             seen[rows[:, None], new] = True
             order = np.sort(np.where(fresh, new, n), axis=1)
             new = np.where(np.concatenate([np.zeros((len(rows), 1), bool), order[:, 1:] == order[:, :-1]], axis=1), n, order)
-            got = np.where(new < n, np.einsum("qd,qcd->qc", q[rows], self.x[np.minimum(new, n - 1)]), -3.0)
+            got = np.full(new.shape, -3, np.float32)
+            a, c = np.nonzero(new < n)
+            got[a, c] = np.einsum("pd,pd->p", q[rows[a]], self.rough[new[a, c]])
             all_ids = np.concatenate([ids[rows], new], axis=1)
             all_sim = np.concatenate([sim[rows], got], axis=1)
             all_open = np.concatenate([opened[rows], new >= n], axis=1)
@@ -163,7 +167,7 @@ class Graph:
         return np.where(ids < n, ids, -1), sim
 
     def nearest(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        start = np.full((len(q), 1), self.entry[-1])
+        q, start = q.astype(np.float32), np.full((len(q), 1), self.entry[-1])
         for k in reversed(range(1, len(self.links))):
             start, _ = self.search(q, k, start, 16)
         return self.search(q, 0, start, beam)
@@ -178,18 +182,22 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def near(graph: Graph, q: np.ndarray, least: float, beam: int, take) -> None:
     """Calls ``take(queries, rows, cosines)`` with pairs of cosine at least ``least``, as far as beams find them and
-    some queries at a time; a beam full of links widens."""
-    n = len(graph.x)
+    some queries at a time; a beam full of links widens.  What single precision finds is verified in double."""
+    n, about = len(graph.x), least - SINGLE
     rows = np.arange(len(q))
     while len(rows):
         again = []
         for i in range(0, len(rows), BATCH):
             part = rows[i : i + BATCH]
             ids, sim = graph.nearest(q[part], min(beam, n))
-            full = (ids[:, -1] >= 0) & (sim[:, -1] >= least) & (beam < n)
+            full = (ids[:, -1] >= 0) & (sim[:, -1] >= about) & (beam < n)
             again.append(part[full])
-            a, c = np.nonzero((ids >= 0) & (sim >= least) & ~full[:, None])
-            take(part[a], ids[a, c], sim[a, c])
+            a, c = np.nonzero((ids >= 0) & (sim >= about) & ~full[:, None])
+            a, b = part[a], ids[a, c]
+            for k in range(0, len(a), 65_536):
+                cosine = np.einsum("pd,pd->p", q[a[k : k + 65_536]], graph.x[b[k : k + 65_536]])
+                true = np.flatnonzero(cosine >= least)
+                take(a[true + k], b[true + k], cosine[true])
         rows, beam = np.concatenate(again), beam * 4
 
 
@@ -307,7 +315,7 @@ def search(rows: DataFrame, *, least: float = 0.93, shard: int = SHARD, block: i
     def build(key, batch):
         node, m, x = table_of(batch)
         graph = Graph(node, x)
-        raw = pickle.dumps((node, m, vars(graph)), protocol=5)  # numpy arrays only
+        raw = pickle.dumps((node, m, vars(graph) | {"rough": None}), protocol=5)  # numpy arrays only
         label, dim, shard = (k.as_py() for k in key)
         return pa.table({"label": [label], "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "blocks": pa.array([batch.column("blocks")[0].as_py()], pa.int32()), "graph": pa.array([raw], pa.binary())})
 
@@ -325,7 +333,7 @@ def search(rows: DataFrame, *, least: float = 0.93, shard: int = SHARD, block: i
             return schema.empty_table()
         ids, mult, state = pickle.loads(left.column("graph")[0].as_py())
         graph = Graph.__new__(Graph)
-        vars(graph).update(state)
+        vars(graph).update(state, rough=state["x"].astype(np.float32))
         node, _, x = table_of(right)
         used, true, hit = audited(graph, x, least, beam, recall)
         got = Links(node, ids, mult)

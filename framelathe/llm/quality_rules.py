@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from ._common import balanced, WORD
 
 #: Phrases of boilerplate lines.  Fixed values.
-BOILERPLATE = (
-    r"(?i)(licensed under|all rights reserved|terms of (use|service)|privacy policy|cookie policy|"
-    r"we use cookies|accept (all )?cookies|enable javascript|javascript is (disabled|required)|"
-    r"click here|subscribe to|sign up for|sign in|log in to|share this|powered by|copyright \(c\)|©)"
+PHRASES = (
+    r"licensed under|all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|"
+    r"we use cookies|accept (?:all )?cookies|enable javascript|javascript is (?:disabled|required)|"
+    r"click here|subscribe to|sign up for|sign in|log in to|share this|powered by|copyright \(c\)"
 )
+#: What any phrase matches, and phrases as whole words.
+ANY_PHRASE = f"(?i)(?:{PHRASES}|©)"
+WHOLE_PHRASE = f"(?i)(?:(?:^|[^a-z0-9])(?:{PHRASES})(?:$|[^a-z0-9])|©)"
 
 
 @dataclass(frozen=True)
@@ -30,6 +33,7 @@ class QualityRules:
     max_symbol_percent: int = 30  # of a line's words that end in two or more of the marks below
     max_bars_percent: int = 25  # of a line's words that are a lone | or the like
     min_bars: int = 2
+    words_per_phrase: int = 25  # a line fails if it has a phrase for so many of its words
     max_lost_percent: int = 50  # of a document's words on removed lines
 
 
@@ -46,7 +50,8 @@ def line_fails(line: Column, r: QualityRules) -> Column:
 
     Punctuation: too many words end in runs of marks (``!!``, ``***``, ``%%%``).
     Navigation: too many separators (``|``, ``»``, ``·``, ``>``) stand alone.
-    Boilerplate: a phrase of licences, cookie notices and calls to act.
+    Boilerplate: phrases of licences, cookie notices and calls to act, for a
+    short line one of them; a sentence that uses one doesn't fail its paragraph.
     """
     n = count_of(line, WORD)
     marks = count_of(line, r"[!?*#$%&~^=_+]{2,}[.,;:]?(?=[\x20\x09-\x0D]|$)")
@@ -54,7 +59,7 @@ def line_fails(line: Column, r: QualityRules) -> Column:
     return (
         (marks * 100 > n * r.max_symbol_percent)
         | ((bars >= r.min_bars) & (bars * 100 > n * r.max_bars_percent))
-        | line.rlike(BOILERPLATE)
+        | (line.rlike(ANY_PHRASE) & (count_of(line, WHOLE_PHRASE) * r.words_per_phrase >= n) & line.rlike(WHOLE_PHRASE))
     )
 
 
@@ -64,8 +69,9 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     Adds ``clean_text`` (lines that pass, joined by newline; null for a null
     text), ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_removed_words`` (long), ``base_failed`` and ``kept``.  A null text counts
-    as empty: no words, base_failed.  Every row gives one row, repeated or not;
-    a column of ``docs`` that bears one of these names is replaced.
+    as empty: no words, base_failed.  Every row gives one row, repeated or not,
+    however long its text is; a column of ``docs`` that bears one of these names
+    is replaced.  Empty table: empty.
     """
     r = rules
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -172,7 +178,7 @@ WITH d AS (
   SELECT k, l, len(regexp_extract_all(l, '{_W}')) AS n,
     len([x FOR x IN regexp_extract_all(l, '{_W}') IF regexp_matches(x, '[!?*#$%&~^=_+]{{2,}}[.,;:]?$')]) AS marks,
     len([x FOR x IN regexp_extract_all(l, '{_W}') IF regexp_matches(x, '^[|»·>•]$')]) AS bars,
-    regexp_matches(l, '{BOILERPLATE}') AS boiler
+    regexp_matches(l, '{WHOLE_PHRASE}') AND len(regexp_extract_all(l, '{WHOLE_PHRASE}')) * 25 >= len(regexp_extract_all(l, '{_W}')) AS boiler
   FROM ln
 ), lines AS (
   SELECT k, sum(CASE WHEN marks * 100 > n * 30 OR (bars >= 2 AND bars * 100 > n * 25) OR boiler THEN n ELSE 0 END) AS lost,

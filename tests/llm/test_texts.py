@@ -45,6 +45,21 @@ def test_quality_cases(spark, odd, clashing, no_docs):
     assert quality_rules.quality(odd).filter("kept").filter("doc_id = 1").count() == 1
 
 
+def test_a_phrase_fails_short_lines_only(spark):
+    plain = " ".join(f"word{i}" for i in range(60)) + "."
+    rows = [
+        (1, f"{plain[:-1]} and click here for more.", True), (2, f"Click here!\n{plain}", False), (3, f"we design in blue and resign in red, blog in to it\n{plain}", True),
+        (4, f"© 2020 some one\n{plain}", False), (5, "Sign in. Log in to it. Share this. " + " ".join(f"w{i}" for i in range(40)) + f"\n{plain}", False), (6, f"SIGN IN\n{plain}", False),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.clean_text, r.kept) for r in quality_rules.quality(df).collect()}
+    for i, t, whole in rows:
+        assert (got[i][0] == t) == whole and got[i][1] and plain[:-1] in got[i][0], i
+    table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    own = quality_rules.quality(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
+    assert rows_of(own) == rows_of_sql(quality_rules.ORACLE, documents=table)
+
+
 def test_quality_is_native(odd):
     plan = quality_rules.quality(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange hash" not in plan
@@ -621,13 +636,13 @@ def test_pipeline_equals_brute_force(spark, odd_rows, tmp_path, small):
     got = sorted((x.doc_id, tuple(x.token_ids)) for x in p.run(spark, str(tmp_path)).collect())
 
     kept = {}
-    from framelathe.llm.quality_rules import BOILERPLATE
+    from framelathe.llm.quality_rules import WHOLE_PHRASE
 
     def fails(line):
         w = WORD.findall(line)
         marks = sum(bool(re.search(r"[!?*#$%&~^=_+]{2,}[.,;:]?$", x)) for x in w)
         bars = sum(x in "|»·>•" for x in w)
-        return marks * 100 > len(w) * 30 or bars >= 2 and bars * 100 > len(w) * 25 or re.search(BOILERPLATE, line)
+        return marks * 100 > len(w) * 30 or bars >= 2 and bars * 100 > len(w) * 25 or 0 < len(w) <= 25 * len(re.findall(WHOLE_PHRASE, line))
 
     for i, t, lang, s, _ in rows:
         w = WORD.findall(t or "")

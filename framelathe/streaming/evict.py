@@ -104,6 +104,7 @@ class Scale:
         self.staged: dict[str, tuple[Path, int]] = {}
         self.refused: list[tuple[str, int]] = []
         self.peak = 0
+        self.tasks: DataFrame | None = None
         self.waiting = self.pending(most)
         self.next: Unit | None = next(self.waiting, None)
 
@@ -122,9 +123,9 @@ class Scale:
             new += 1
             yield unit
 
-    def feed(self) -> int:
-        """Fetch units as long as what is raw and the next one fit the budget; returns how many were fetched."""
-        n = 0
+    def feed(self) -> dict[str, tuple[Path, int]]:
+        """Fetch units as long as what is raw and the next one fit the budget; returns their folders and sizes."""
+        got: dict[str, tuple[Path, int]] = {}
         while self.next is not None:
             used = self.guard.used()
             if used and used + self.next.est_bytes > self.room:
@@ -133,15 +134,17 @@ class Scale:
             # a folder of its own for each attempt: a stream reads no path twice
             dest = self.raw / f"{uuid.uuid4().hex[:12]}.part"
             size = self.source.fetch(self.next, dest)
-            self.staged[self.next.id] = (dest.with_suffix(""), size)
+            got[self.next.id] = (dest.with_suffix(""), size)
             dest.rename(dest.with_suffix(""))
             self.peak = max(self.peak, self.guard.used())
             self.next = next(self.waiting, None)
-            n += 1
-        return n
+        return got
 
     def batch(self, df: DataFrame, dims: tuple[int, int], calibration: Calibration, gates: SignalGates, versions, about: dict) -> None:
         units = dict(self.staged)
+        if self.tasks is None:  # names of tasks are metadata: read once, kept on the driver
+            found = Dataset(next(iter(units.values()))[0]).tasks(self.spark)
+            self.tasks = self.spark.createDataFrame(found.collect(), found.schema).coalesce(1)
         of = {folder.name: unit for unit, (folder, _) in units.items()}
         name = F.regexp_extract(F.col("_file"), r"/([0-9a-f]{12})/data/", 1)
         named = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
@@ -159,8 +162,7 @@ class Scale:
             into(data.join(judged.filter("passed").select(*on), on, "left_semi").select(columns), self.curated / "data")
             bad = judged.filter(~F.col("passed"))
             order = [c for c in ("frame_index", "timestamp") if c in data.columns]
-            tasks = Dataset(next(iter(units.values()))[0]).tasks(self.spark)
-            first = catalog.named(catalog.first_tasks(data.withColumn("_key", key), order, "_key"), tasks).select(F.col("ep").alias("_key"), "task")
+            first = catalog.named(catalog.first_tasks(data.withColumn("_key", key), order, "_key"), self.tasks).select(F.col("ep").alias("_key"), "task")
             by = judged.withColumn("_key", key).join(first, "_key").groupBy("unit")
             seen = by.agg(
                 F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("quarantined"), F.sum(F.when(F.col("passed"), F.col("n_frames")).otherwise(0)).alias("frames"),
@@ -190,9 +192,7 @@ class Scale:
         versions.upsert(self.record(about))
         into(self.spark.createDataFrame(rows, MANIFEST).coalesce(1), self.done)
         for name, (folder, _) in units.items():
-            freed = self.guard.evict(folder)
-            del self.staged[name]
-            log_event("scale_unit_done", unit=name, freed_bytes=freed, raw_now=self.guard.used())
+            log_event("scale_unit_done", unit=name, freed_bytes=self.guard.evict(folder), raw_now=self.guard.used())
 
     def write_meta(self, batch: Path) -> None:
         meta = self.curated / "meta"
@@ -232,7 +232,8 @@ def run_scale(
     run = Scale(spark, source, root, scale_id, dataset_version, budget_bytes, headroom, subcap_frac, max_units)
     versions = open_catalog(spark, catalog_backend, catalog_target or root / ("catalog.db" if catalog_backend == "sqlite" else "catalog"))
     log_event("scale_start", scale_id=scale_id, dataset_version=dataset_version, budget_bytes=budget_bytes, resuming_units=len(run.totals.units))
-    if run.feed():
+    run.staged = run.feed()
+    if run.staged:
         first = next(p for folder, _ in run.staged.values() for p in sorted((folder / "data").rglob("*.parquet")))
         schema = spark.read.parquet(str(first)).schema
         frames = (
@@ -242,15 +243,17 @@ def run_scale(
         about = {"hf_repo": hf_repo, "license": license}
         log = root / "checkpoint" / f"{dataset_version}-{uuid.uuid4().hex[:12]}"
 
-        def batch(df: DataFrame, _: int) -> None:
-            run.batch(df, dims, calibration, gates, versions, dict(about))
+        def batch(df: DataFrame, _: int) -> None:  # nothing is listed while this runs, so no half-fetched unit is taken
+            if run.staged:
+                run.batch(df, dims, calibration, gates, versions, about)
+                run.staged = run.feed()
 
+        query = frames.writeStream.foreachBatch(batch).option("checkpointLocation", str(log)).start()
         try:
-            while run.staged:  # the stream takes what is there, then the source may go on
-                query = frames.writeStream.foreachBatch(batch).option("checkpointLocation", str(log)).trigger(availableNow=True).start()
-                query.awaitTermination()
-                run.feed()
+            while run.staged and not query.awaitTermination(0.2):  # raises what a batch raised
+                pass
         finally:
+            query.stop()
             shutil.rmtree(log, ignore_errors=True)
     if run.refused:
         spark.createDataFrame(run.refused, "unit string, bytes bigint").coalesce(1).write.mode("overwrite").parquet(str(root / "refused_units" / dataset_version))

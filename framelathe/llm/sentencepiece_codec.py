@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 
 from ._common import balanced
 
+#: Names the model file in the session; without it, and without a path, the file of the public tokenizers.
+SETTING = "spark.framelathe.sentencepiece.model"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -416,16 +418,22 @@ def steps(texts: list[str | None]):
         yield slice(begin, len(texts))
 
 
-def encode(docs: DataFrame, path: str = MODEL, check: bool = True) -> DataFrame:
+def model_of(spark, path: str | None):
+    """The model, broadcast: some megabytes, and read by the driver alone."""
+    return spark.sparkContext.broadcast(load(path or spark.conf.get(SETTING, MODEL)))
+
+
+def encode(docs: DataFrame, path: str | None = None, check: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens`` (long), ``token_ids`` (array of int) and, if asked, ``round_trip``.
 
     ``round_trip``: decoding gives the text again (a literal U+2581 counts as a
     space, as the format has it).  Null texts: no tokens, null ids and null
-    round_trip; empty ones: an empty array.  Each row stands alone; columns of
-    these names are replaced.  The model, some megabytes, is broadcast.
+    round_trip; empty ones: an empty array; very long ones are taken whole.  Each
+    row stands alone; columns of these names are replaced.  Empty table: empty.
+    ``path``: the model file, else what SETTING names.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(load(path))
+    model = model_of(spark, path)
     added = ["n_tokens", "token_ids"] + ["round_trip"] * check
     plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     extra = {"n_tokens": T.LongType(), "token_ids": T.ArrayType(T.IntegerType()), "round_trip": T.BooleanType()}
@@ -454,9 +462,9 @@ def encode(docs: DataFrame, path: str = MODEL, check: bool = True) -> DataFrame:
     return plain.mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
+def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """``tokens`` with ``text`` decoded from ``token_ids``; null ids give a null text."""
-    model = tokens.sparkSession.sparkContext.broadcast(load(path))
+    model = model_of(tokens.sparkSession, path)
     plain = tokens.select(*[F.col(f"`{c}`") for c in tokens.columns if c != "text"])
     schema = T.StructType([*plain.schema.fields, T.StructField("text", T.StringType())])
 

@@ -125,7 +125,8 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, **how
     ``rule`` is null where none fits; then ``verdict`` is the host's, ``allow``
     unless propagation blocks it.  A null url, or one without ``://``, has an
     empty host and path, fits no rule and is allowed.  Null html has no links.
-    Rows repeat as they do in ``pages``.
+    Rows repeat as they do in ``pages``; columns of ``pages`` other than page_id,
+    url and html are not looked at, whatever they are called.  Empty table: empty.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, ruled = fitting(F.col("host"), F.col("path"), rules)

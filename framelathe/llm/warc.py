@@ -138,7 +138,7 @@ def stamp(date14: str) -> str:
 
 
 def write_arc(pages: DataFrame, path: str, *, version: int = 2, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write ``pages(page_id, url, html)`` as gzipped ARC files; null html is empty.
+    """Write ``pages(page_id, url, html)`` as gzipped ARC files; null html is empty, other columns are not looked at.
 
     Version 1 has no place for the page_id: it is lost.
     """
@@ -169,10 +169,39 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-def arc_records(spark: SparkSession, path: str, *, content: bool = True) -> DataFrame:
+#: What parsing a damaged archive may raise.
+DAMAGE = (ValueError, KeyError, IndexError, zlib.error)
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """``path, records, error`` of ARC files that can't be read to their end: what a run that isn't strict leaves out."""
+
+    def run(batches):
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                n = 0
+                try:
+                    for _ in parse_arc(raw.as_py()):
+                        n += 1
+                except DAMAGE as e:
+                    yield pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([n], pa.int64()), "error": [f"{type(e).__name__}: {e}"]})
+
+    return archives(spark, path).mapInArrow(run, "path string, records long, error string")
+
+
+def read_to_damage(records, strict: bool):
+    try:
+        yield from records
+    except DAMAGE:
+        if strict:
+            raise
+
+
+def arc_records(spark: SparkSession, path: str, *, content: bool = True, strict: bool = True) -> DataFrame:
     """``page_id, url, ip, date, mime, digest, bytes, http, payload`` of the records in ARC files.
 
-    Without ``content`` the last two are left out.
+    Without ``content`` the last two are left out.  A damaged file raises, or if
+    not ``strict`` gives the records before the damage; ``damaged`` lists them.
     """
     names = ["page_id", "url", "ip", "date", "mime", "digest", "bytes"] + ["http", "payload"] * content
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()] + [pa.binary(), pa.binary()] * content
@@ -182,7 +211,7 @@ def arc_records(spark: SparkSession, path: str, *, content: bool = True) -> Data
         for b in batches:
             for raw in b.column(1):
                 rows, held = [], 0
-                for _, f, block in parse_arc(raw.as_py()):
+                for _, f, block in read_to_damage(parse_arc(raw.as_py()), strict):
                     http, payload = payload_of(block)
                     name = f.get("Filename", "-")
                     page = int(name[len(PAGE) :]) if name.startswith(PAGE) else None
@@ -199,15 +228,16 @@ def arc_records(spark: SparkSession, path: str, *, content: bool = True) -> Data
     return archives(spark, path).mapInArrow(run, kind)
 
 
-def convert(spark: SparkSession, arc: str, warc: str, *, least_bytes: int = 0) -> None:
+def convert(spark: SparkSession, arc: str, warc: str, *, least_bytes: int = 0, strict: bool = True) -> None:
     """Write the WARC equivalent of the ARC files under ``arc``.
 
     Of records with equal payloads of at least ``least_bytes`` the one with the
     largest page_id is the response (rows that repeat it too), others revisit
-    it; records without a page_id are responses.
+    it; records without a page_id are responses.  Records that repeat a page_id
+    bear one WARC-Record-ID.  No pages: archives without records.
     """
     again = (
-        arc_records(spark, arc, content=False)
+        arc_records(spark, arc, content=False, strict=strict)
         .filter((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull())
         .groupBy("digest", "bytes")
         .agg(F.max("page_id").alias("_to"), F.min("page_id").alias("_from"))
@@ -217,7 +247,7 @@ def convert(spark: SparkSession, arc: str, warc: str, *, least_bytes: int = 0) -
     again = cut(again, "revisits")
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
-    rows = arc_records(spark, arc).join(again, (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes")), "left")
+    rows = arc_records(spark, arc, strict=strict).join(again, (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes")), "left")
     rows = rows.select("page_id", "url", "ip", "date", "mime", "digest", "http", "payload", F.when(F.col("page_id") < F.col("_to"), F.col("_to")).alias("to"))
 
     def run(batches):

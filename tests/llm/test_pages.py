@@ -379,6 +379,23 @@ def test_planted_vectors_link():
     assert np.allclose((y * y).sum(1), 1) and ((y @ x.T).max(1) >= 0.93).all() and ((y @ x.T).max(1) < 0.9999).all()
 
 
+def test_damaged_archives_are_listed(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a.com/{i}", "x" * 100) for i in range(6)], PAGES).withColumns({"path": F.lit("clash"), "content": F.lit(1), "digest": F.lit("y")})
+    warc.write_arc(pages.repartition(2), str(tmp_path / "arc"))
+    assert warc.damaged(spark, str(tmp_path / "arc")).count() == 0 and warc.arc_records(spark, str(tmp_path / "arc")).count() == 6
+    file = sorted((tmp_path / "arc").glob("part-*.gz"))[0]
+    raw = gzip.decompress(file.read_bytes())
+    n = raw.count(b"http://a.com/")
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    file.write_bytes(gzip.compress(raw.rstrip(b"\n") + b"\nhttp://a.com/9 no header of any version\n"))
+    with pytest.raises(Exception, match="fields"):
+        warc.arc_records(spark, str(tmp_path / "arc")).count()
+    row = warc.damaged(spark, str(tmp_path / "arc")).collect()
+    assert len(row) == 1 and row[0].records == n and row[0].error.startswith("ValueError")
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), strict=False)
+    assert sorted(r.page_id for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()) == list(range(6))
+
+
 def test_links_come_from_graph_searches(spark):
     """Beams stay below their shards, every block is audited, and shards of one label find links in each other."""
     rng = np.random.default_rng(9)

@@ -452,6 +452,20 @@ def test_viterbi_of_unigram_models(fallback):
         assert ids[e - n : e].tolist() == sp.encode(t), t
 
 
+def test_the_session_names_the_model(spark, tmp_path):
+    raw = unigram_model(True)
+    (tmp_path / "m").write_bytes(raw)
+    df = spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")
+    own = sentencepiece_codec.encode(df, str(tmp_path / "m")).first().token_ids
+    spark.conf.set(sentencepiece_codec.SETTING, str(tmp_path / "m"))
+    try:
+        assert sentencepiece_codec.encode(df).first().token_ids == own
+        assert sentencepiece_codec.decode(sentencepiece_codec.encode(df)).first().text == "ab cd"
+    finally:
+        spark.conf.unset(sentencepiece_codec.SETTING)
+    assert sentencepiece_codec.encode(df).first().token_ids != own
+
+
 def test_maps_are_refused():
     with pytest.raises(ValueError):
         sentencepiece_codec.parse(b"\x1a\x04\x12\x02ab")
@@ -691,12 +705,21 @@ def test_pipeline_equals_brute_force(spark, odd_rows, tmp_path, small):
     assert [n for n, _ in p.STAGES] == ["quality_rules", "simhash_near_dedup", "substring_dedup", "source_mixing", "sentencepiece"]
 
 
-def test_stages_take_odd_and_empty_tables(spark, odd, no_docs):
+def test_stages_take_odd_and_empty_tables(spark, odd, clashing, no_docs):
     import corpus_pipeline as p
 
     for name, stage in p.STAGES:
-        for docs in (odd, no_docs):
-            out = stage(spark, docs, "")
-            out.count()
-            if name != "sentencepiece":
-                assert tuple(out.columns) == p.COLUMNS
+        plain = sorted(map(str, stage(spark, odd, "").collect()))
+        assert plain and sorted(map(str, stage(spark, clashing, "").collect())) == plain, name  # other columns change nothing
+        assert stage(spark, no_docs, "").count() == 0
+        if name != "sentencepiece":
+            assert tuple(stage(spark, odd, "").columns) == p.COLUMNS
+        ids = Counter(r.doc_id for r in stage(spark, odd, "").collect())
+        if name == "quality_rules":
+            assert not {4, 5, 6} & set(ids) and ids[8] == 2 and ids[None] == 1  # nulls and empty texts go, repeated rows stay
+        if name == "simhash_near_dedup":
+            assert ids[8] == 1 and ids[None] == 1 and 2 not in ids and ids[4] == 1 and 5 not in ids
+        if name == "substring_dedup":
+            assert ids[4] == ids[None] == 1 and ids[8] == 2 and 2 not in ids
+        if name == "sentencepiece":
+            assert sum(ids.values()) == 19

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 ONE_PASS_ROWS = 20_000
 #: An approximate percentile's rank is off by the number of rows over this at most.
-ACCURACY = 10_000
+ACCURACY = 1_000
 #: Distinct values that come to the driver in the last pass, over all columns.
 FEW_VALUES = 200_000
 
@@ -53,7 +53,7 @@ class Sought:
 
 
 def narrowed(rows: DataFrame, sought: list[Sought], few: int) -> None:
-    """Fills the values of those sought; ``rows`` is read twice a round, and one round is enough for a billion rows or so."""
+    """Fills the values of those sought; ``rows`` is read twice a round, and each leaves a hundredth of them or so."""
     slack = 2.0
     while todo := [k for k, s in enumerate(sought) if s.values is None]:
         own = rows.filter(F.col("k").isin(todo))

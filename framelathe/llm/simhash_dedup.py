@@ -41,7 +41,7 @@ RECALL = 0.99
 #: Runs of one key beyond this length are compared in blocks.
 LONG_RUN = 256
 #: What a probe or index row costs, in comparisons of two fingerprints: time, and room on disk.
-ROW_COST = 4000
+ROW_COST = 20_000
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:

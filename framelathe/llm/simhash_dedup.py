@@ -468,11 +468,11 @@ def links(
 
 
 def similar(similarity: float, lanes: int) -> dict:
-    """What ``links`` takes for a cosine of shingle sets: bits differ by its angle over pi, one standard deviation of
-    that estimate is allowed on all lanes and three on the first; sets of unlike size can't be so similar."""
+    """What ``links`` takes for a cosine of shingle sets: bits differ by its angle over pi, two standard deviations of
+    that estimate are allowed on all lanes and three on the first; sets of unlike size can't be so similar."""
     share = math.acos(similarity) / math.pi
     above = lambda bits, sd: math.floor(bits * share + sd * math.sqrt(bits * share * (1 - share)))
-    return {"tau": above(64, 3), "ext_tau": above(64 * lanes, 1), "ratio": similarity**2, "find": (share, RECALL)}
+    return {"tau": above(64, 3), "ext_tau": above(64 * lanes, 2), "ratio": similarity**2, "find": (share, RECALL)}
 
 
 def grouped(docs: DataFrame, shingle: int, tau: int | None, lanes: int, similarity: float, distinct: bool) -> DataFrame:

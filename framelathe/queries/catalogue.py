@@ -329,10 +329,21 @@ def augment_frames(spark, sf_dir):
     return rows.select("episode_index", "task_index", "frame_index", F.col("timestamp").cast("double").alias("timestamp"))
 
 
-@query()
+@query(_PLAN_SQL + "SELECT episode_index, task_index, true AS length_ok, true AS widths_ok, true AS bounded, true AS smooth, true AS clock_ok FROM plan")
 def augment_values(spark, sf_dir):
-    """Trajectories of the planned episodes: hashed uniforms, which SQL can't repeat."""
-    return augment.generate(planned(spark, sf_dir), _UNIT, 7, 7)
+    """Trajectories of the planned episodes.  Their values are hashed uniforms, which SQL can't repeat; what they must keep
+    to can be told: 120 to 259 frames, seven dimensions each, an amplitude of 0.7 at most and a step of a twentieth of that."""
+    rows = augment.generate(planned(spark, sf_dir), _UNIT, 7, 7)
+    w = Window.partitionBy("episode_index").orderBy("frame_index")
+    size = lambda c: F.array_max(F.transform(c, lambda x: F.abs(x.cast("double"))))
+    step = F.array_max(F.zip_with("action", F.lag("action").over(w), lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+    state = F.col("`observation.state`")
+    rows = rows.withColumns({"step": F.coalesce(step, F.lit(0.0)), "late": F.abs(F.col("timestamp") - F.col("frame_index") / 15.0)})
+    n = F.count(F.lit(1))
+    return rows.groupBy("episode_index", "task_index").agg(
+        ((n >= 120) & (n < 260)).alias("length_ok"), F.every((F.size("action") == 7) & (F.size(state) == 7)).alias("widths_ok"),
+        (F.max(F.greatest(size("action"), size(state))) <= 0.7).alias("bounded"), (F.max("step") <= 0.7 * 0.05 + 1e-6).alias("smooth"), (F.max("late") < 1e-5).alias("clock_ok"),
+    )
 
 
 @query("""
@@ -479,12 +490,25 @@ def dashboard_storage(spark, sf_dir):
 # --- streaming ------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""
+WITH e AS (SELECT unnest(range(0, 12)) AS ep), f AS (SELECT ep, unnest(range(0, 200)) AS i FROM e)
+SELECT format('{:03d}', ep // 3) AS unit, ep AS episode_index, i AS frame_index, (i / 10.0::DOUBLE)::FLOAT::DOUBLE AS timestamp, ep % 4 AS task_index,
+  ep % 7 = 0 AND i >= 100 AND i < 110 AS kicked, 14::BIGINT AS close_to_waves FROM f
+""")
 def synthetic_store(spark, sf_dir):
-    """Frames of the synthetic store."""
+    """Frames of the synthetic store: which are kicked, and how many dimensions lie within their noise of the waves."""
     from ..streaming.synthetic import synthetic_frames
 
-    return synthetic_frames(spark, chunks=4, frames=200)
+    rows = synthetic_frames(spark, chunks=4, frames=200)
+    kicked = F.abs(F.get("action", F.lit(0))) > 10
+    sign = F.when(kicked, F.when(F.col("frame_index") % 2 == 0, 50.0).otherwise(-50.0)).otherwise(0.0)
+    i = F.col("frame_index").cast("double")
+    state = F.transform(F.col("`observation.state`"), lambda x, d: F.abs(x - F.sin(i / 5 + d)) < 0.1)
+    action = F.transform("action", lambda x, d: F.abs(x - F.when(d == 0, sign).otherwise(0.0) - F.cos(i / 6 + d)) < 0.1)
+    close = F.size(F.filter(F.concat(state, action), lambda x: x))
+    return rows.select(
+        "unit", "episode_index", "frame_index", F.col("timestamp").cast("double").alias("timestamp"), "task_index", kicked.alias("kicked"), close.cast("bigint").alias("close_to_waves")
+    )
 
 
 _RUN_SQL = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -49,6 +50,15 @@ def remove(spark: SparkSession, path: str) -> None:
     _written.discard(path)
 
 
+def observed(seen: Observation, wait: float = 60.0) -> int | None:
+    """The count ``n`` that a job observed; None if a busy session doesn't deliver it in so many seconds, as it may."""
+    got: list[int] = []
+    asks = threading.Thread(target=lambda: got.append(seen.get.get("n", 0)), daemon=True)
+    asks.start()
+    asks.join(wait)
+    return got[0] if got else None
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends, lost executors cost nothing.
 
@@ -59,7 +69,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    if (found := back.count()) != (wrote := seen.get.get("n", 0)):
+    wrote = observed(seen)
+    if wrote is not None and (found := back.count()) != wrote:
         raise RuntimeError(f"{path}: {wrote} rows written, {found} read back; is the folder shared?")
     return back
 

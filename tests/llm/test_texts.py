@@ -237,6 +237,37 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_are_counted_and_swept(spark, no_docs, monkeypatch):
+    from framelathe.llm import _common
+
+    before = _common.tables()
+    df = _common.cut(spark.range(7), "seven")
+    assert df.count() == 7 and _common.cut(no_docs, "none").count() == 0 and len(_common.tables() - before) == 2
+    kept = {p for p in _common.tables() if "/seven-" in p} | before
+    _common.sweep(spark, kept)
+    assert df.count() == 7 and _common.tables() == kept
+    _common.sweep(spark, before)
+    assert _common.tables() == before
+    monkeypatch.setattr(_common, "observed", lambda seen: 8)
+    with pytest.raises(RuntimeError, match="is the folder shared"):
+        _common.cut(spark.range(7), "lost")
+    monkeypatch.setattr(_common, "observed", lambda seen: None)
+    assert _common.cut(spark.range(7), "unknown").count() == 7
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace as N
+
+    from framelathe.llm import _common
+
+    def session(master):
+        return N(sparkContext=N(master=master, getConf=lambda: N(get=lambda *_: None)), conf=N(get=lambda *_: None, set=lambda *_: None))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _common.shared_dir(session("spark://host:7077"))
+    assert _common.shared_dir(session("local[2]")).startswith("file:///")
+
+
 def test_components_have_no_cap_on_rounds(spark, monkeypatch):
     from framelathe.llm import _common
 
